@@ -57,10 +57,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(table(spark, sf_dir, "documents"), n=3, num=9, den=10)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing as c
+
+    pieces = c.cut(table(spark, sf_dir, "documents"))
+    summed = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "task", "rank")
+    return c.place(summed)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_secret_scan": op2_secret_scan,
     "op3_bpe": op3_bpe,
+    "op7_packing": op7_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
