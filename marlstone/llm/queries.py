@@ -57,6 +57,21 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(table(spark, sf_dir, "documents"), n=3, num=9, den=10)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup as c
+
+    return c.repeats(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ordinal as c
+
+    docs = table(spark, sf_dir, "documents")
+    model = c.fit(docs, c.ratings(table(spark, sf_dir, "labels")), c.GRADES)
+    graded = c.score(docs.select("doc_id", "text"), model, c.GOOD)
+    return graded.select("doc_id", "expected_grade", F.col("tail").alias("p_good"), (F.col("tail") >= 0.5).alias("kept"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing as c
 
@@ -69,7 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_secret_scan": op2_secret_scan,
     "op3_bpe": op3_bpe,
+    "op5_line_dedup": op5_line_dedup,
     "op7_packing": op7_packing,
+    "op9_quality": op9_quality,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
