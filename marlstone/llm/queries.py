@@ -72,6 +72,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", "expected_grade", F.col("tail").alias("p_good"), (F.col("tail") >= 0.5).alias("kept"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc as c
+
+    back = c.archive(table(spark, sf_dir, "pages"), min_bytes=0)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing as c
 
@@ -85,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_bpe": op3_bpe,
     "op5_line_dedup": op5_line_dedup,
+    "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op9_quality": op9_quality,
     "op10_jaccard_join": op10_jaccard_join,
