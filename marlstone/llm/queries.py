@@ -57,6 +57,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(table(spark, sf_dir, "documents"), n=3, num=9, den=10)
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import multi_index as c
+
+    return c.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_dedup as c
 
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_secret_scan": op2_secret_scan,
     "op3_bpe": op3_bpe,
+    "op4_near_vectors": op4_near_vectors,
     "op5_line_dedup": op5_line_dedup,
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
