@@ -69,6 +69,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import hilbert as c
+
+    return c.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ordinal as c
 
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
+    "op8_hilbert_search": op8_hilbert_search,
     "op9_quality": op9_quality,
     "op10_jaccard_join": op10_jaccard_join,
 }
