@@ -12,55 +12,70 @@ other columns are not carried.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import written
-from .word_split import Splitter, encode_words, load, tokenizer_path
+from .common import fresh_path
+from .word_split import BYTE_CHARS, Numbering, Splitter, encode_words, load, tokenizer_path
 
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 16_000_000
 BYTE_BPE = "byte_bpe_50k.json"
 _BLOCKS = "block long, doc_ids array<long>, sizes array<int>, n_words int, positions binary, words array<string>"
 
 
+def pack_ints(values) -> bytes:
+    """Unsigned integers below 2**32, byte plane by byte plane, compressed."""
+    import numpy as np
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.asarray(values, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack_ints(data: bytes):
+    import numpy as np
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
 def split_blocks(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per block: its documents' ids and word counts, word positions (zstd of unsigned integers, 16 bits wide if
-    ``n_words`` allows, 32 if not) and distinct words. ``docs``: columns ``doc_id`` and ``text``."""
+    """One row per block: its documents' ids and word counts, its distinct words, the most frequent first, and the text
+    of its documents as places in that list. ``docs``: columns ``doc_id`` and ``text``."""
 
     def blocks(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        import zstandard
         from pyspark import TaskContext
 
-        splitter, press = Splitter(load(path)), zstandard.ZstdCompressor(level=3)
+        splitter = Splitter(load(path))
         number = TaskContext.get().partitionId() << 32
         ids: list = []
         sizes: list[int] = []
         parts: list = []
-        known: dict[str, int] = {}
-        chars = 0
+        known, chars = Numbering(), 0
 
         def flush():
             nonlocal ids, sizes, parts, known, chars, number
             number += 1
-            wide = np.uint16 if len(known) <= 65536 else np.uint32
-            data = np.concatenate(parts).astype(wide).tobytes() if parts else b""
+            met = np.concatenate(parts)
+            words = np.array(list(known), object)
+            order = np.argsort(-np.bincount(met, minlength=len(words)), kind="stable")
+            place = np.empty(len(words), np.uint32)
+            place[order] = np.arange(len(words), dtype=np.uint32)
             row = pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([len(known)], pa.int32()), pa.array([press.compress(data)], pa.binary()), pa.array([list(known)], pa.list_(pa.string()))],
+                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([len(words)], pa.int32()), pa.array([pack_ints(place[met])], pa.binary()), pa.array([words[order].tolist()], pa.list_(pa.string()))],
                 names=["block", "doc_ids", "sizes", "n_words", "positions", "words"],
             )
-            ids, sizes, parts, known, chars = [], [], [], {}, 0
+            ids, sizes, parts, known, chars = [], [], [], Numbering(), 0
             return row
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 found = splitter.split(text)
-                for w in set(found).difference(known):
-                    known[w] = len(known)
                 ids.append(doc_id)
                 sizes.append(len(found))
                 parts.append(np.fromiter(map(known.__getitem__, found), np.uint32, len(found)))
@@ -74,7 +89,7 @@ def split_blocks(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) ->
 
 
 def _deal(blocks: DataFrame, n_buckets: int) -> DataFrame:
-    """Rows (bucket, block, at, words): the words of a block that belong to a bucket, and their numbers in the block."""
+    """Rows (bucket, block, at, words): the words of a block that belong to a bucket, and the steps between their places."""
 
     def deal(batches: Iterator) -> Iterator:
         import zlib
@@ -87,66 +102,78 @@ def _deal(blocks: DataFrame, n_buckets: int) -> DataFrame:
                 words = words.values
                 bucket = np.fromiter((zlib.crc32(w.encode()) % n_buckets for w in words.to_pylist()), np.int64, len(words))
                 order = np.argsort(bucket, kind="stable")
-                at, first = np.unique(bucket[order], return_index=True)
-                lists = lambda flat: pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), block)), lists(pa.array(order, pa.int32())), lists(words.take(pa.array(order)))], names=["bucket", "block", "at", "words"])
+                buckets, first = np.unique(bucket[order], return_index=True)
+                cuts = np.append(first, len(order))
+                at = [pack_ints(np.diff(order[a:b], prepend=0)) for a, b in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(buckets), pa.array(np.full(len(buckets), block)), pa.array(at, pa.binary()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words.take(pa.array(order)))],
+                    names=["bucket", "block", "at", "words"],
+                )
+
+    return blocks.select("block", "words").mapInArrow(deal, "bucket long, block long, at binary, words array<string>")
 
-    return blocks.select("block", "words").mapInArrow(deal, "bucket long, block long, at array<int>, words array<string>")
+
+def _by_block(blocks: DataFrame) -> DataFrame:
+    """``blocks`` written to the shared folder in buckets by block, so that the ids come to them and they stay in place."""
+    spark, name = blocks.sparkSession, f"bpe_blocks_{uuid.uuid4().hex}"
+    n = max(8, blocks.rdd.getNumPartitions())
+    blocks.write.bucketBy(n, "block").option("compression", "zstd").option("path", fresh_path(spark, "bpe-blocks")).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"drop table {name}")  # its files stay
+    return table
 
 
 def encode(docs: DataFrame, path: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows (``doc_id``, ``ids`` array of int) of ``docs`` (``doc_id``, ``text``). ``path``: a tokenizers file."""
     path = path or tokenizer_path(BYTE_BPE)
-    blocks = written(split_blocks(docs, path, block_chars), "bpe-blocks")
+    blocks = _by_block(split_blocks(docs, path, block_chars))
     n_buckets = max(16, blocks.count())
 
     def code(group):
         import numpy as np
         import pyarrow as pa
 
-        words = group.column("words").combine_chunks().values.dictionary_encode()
+        lists = group.column("words").combine_chunks()
+        words = lists.flatten().dictionary_encode()
         each = encode_words(load_once(path), words.dictionary.to_pylist())
-        width = np.fromiter(map(len, each), np.int32, len(each))
-        flat = np.fromiter((i for x in each for i in x), np.int32, int(width.sum()))
+        width = np.fromiter(map(len, each), np.int64, len(each))
+        flat = np.fromiter((i for x in each for i in x), np.uint32, int(width.sum()))
+        first = np.cumsum(width) - width
         index = words.indices.to_numpy(zero_copy_only=False)
-        ends = np.cumsum(width)
-        sizes = width[index]
-        from_, to = ends[index] - sizes, np.cumsum(sizes)
-        take = np.repeat(from_ - (to - sizes), sizes) + np.arange(int(to[-1]) if len(to) else 0)
-        ids = flat[take]
-        offsets = group.column("words").combine_chunks().offsets.to_numpy()
-        offsets = offsets - offsets[0]
-        id_at = np.concatenate([[0], to])[offsets]
-        lists = lambda at, v: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v, pa.int32()))
-        return pa.table([group.column("block"), group.column("at"), lists(offsets, sizes), lists(id_at, ids)], names=["block", "at", "sizes", "ids"])
-
-    coded = _deal(blocks, n_buckets).groupBy("bucket").applyInArrow(code, "block long, at array<int>, sizes array<int>, ids array<int>")
+        cuts = np.cumsum([0, *map(len, lists)])
+        sizes, ids = [], []
+        for a, b in zip(cuts, cuts[1:]):
+            w = width[index[a:b]]
+            to = np.cumsum(w)
+            sizes.append(pack_ints(w))
+            ids.append(pack_ints(flat[np.repeat(first[index[a:b]] - (to - w), w) + np.arange(to[-1])]))
+        return pa.table([group.column("block"), group.column("at"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["block", "at", "sizes", "ids"])
+
+    coded = _deal(blocks, n_buckets).groupBy("bucket").applyInArrow(code, "block long, at binary, sizes binary, ids binary")
 
     def join(left, right):
         import numpy as np
         import pyarrow as pa
-        import zstandard
 
-        flat = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
         out_ids, out = [], []
-        if right.num_rows:
-            at, width, ids = flat(right, "at"), flat(right, "sizes"), flat(right, "ids")
-            starts = np.cumsum(width) - width
-            n = left.column("n_words")[0].as_py()
-            start_of, width_of = np.empty(n, np.int64), np.empty(n, np.int64)
-            start_of[at], width_of[at] = starts, width
         for row in left.select(["doc_ids", "sizes", "n_words", "positions"]).to_pylist():
-            where = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["positions"]), np.uint16 if row["n_words"] <= 65536 else np.uint32)
-            end = 0
+            start_of, width_of, ids, end = np.empty(row["n_words"], np.int64), np.empty(row["n_words"], np.int64), [], 0
+            for part in right.select(["at", "sizes", "ids"]).to_pylist():
+                at, width = np.cumsum(unpack_ints(part["at"]).astype(np.int64)), unpack_ints(part["sizes"]).astype(np.int64)
+                start_of[at], width_of[at] = end + np.cumsum(width) - width, width
+                ids.append(unpack_ints(part["ids"]))
+                end += len(ids[-1])
+            ids = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+            where, end = unpack_ints(row["positions"]), 0
             for doc_id, size in zip(row["doc_ids"], row["sizes"]):
                 words = where[end : end + size]
                 end += size
-                w = width_of[words] if size else np.zeros(0, np.int64)
+                w = width_of[words]
                 to = np.cumsum(w)
                 out_ids.append(doc_id)
                 out.append(ids[np.repeat(start_of[words] - (to - w), w) + np.arange(to[-1])] if size else np.zeros(0, np.int32))
         ends = np.cumsum([0, *map(len, out)])
-        return pa.table([pa.array(out_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int32()))], names=["doc_id", "ids"])
+        return pa.table([pa.array(out_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32()))], names=["doc_id", "ids"])
 
     left = blocks.select("block", "doc_ids", "sizes", "n_words", "positions")
     return left.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join, "doc_id long, ids array<int>")
@@ -165,9 +192,7 @@ def load_once(path: str):
 def piece_table(path: str) -> list[bytes]:
     """The bytes that each id stands for, in a byte-level vocabulary; as long as the vocabulary."""
     tokenizer = load(path)
-    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    byte_of = {chr(b): b for b in kept}
-    byte_of |= {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(kept))}
+    byte_of = {c: b for b, c in BYTE_CHARS.items()}
     special = {i: a.content for i, a in tokenizer.get_added_tokens_decoder().items()}
     pieces = [b""] * tokenizer.get_vocab_size()
     for piece, i in tokenizer.get_vocab().items():
