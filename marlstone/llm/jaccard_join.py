@@ -6,12 +6,14 @@ in few n-grams; the hash range is cut into more parts than that, by the class of
 that is not empty must be equal in both. Documents that share a part are candidates. A part holds several n-grams picked
 by hash, so a passage that many documents share hardly ever fills one.
 
-Candidates form clusters. A cluster's sets meet in blocks of bounded size; each block stores its sets in a prefix tree in
-the global order and every set walks it once: common beginnings share their partial overlap, and a branch is left as
-soon as what remains of both sets can't reach the threshold, or when all below is already linked to the walker. Blocks
-return a spanning forest of the links, not the links. Each block holds its cluster's first document too, so a large
-group of copies is joined after one pass over its blocks; only clusters that fall apart compare blocks with each other,
-until every pair of candidates not yet in one component has been compared. Nothing is dropped or capped.
+Of the documents that share a part, each is first tried against the smallest: where groups of copies are large, that
+joins them with one comparison each. Where a part's documents are then still in different components, each is tried
+against one picked by a hash and against the nearest in another component, round after round while that joins any, and at
+last against all that are left in other components. A trial begins with parity bitmaps, whose distance is never more than the number
+of n-grams in which two sets differ; what passes is joined exactly: one document's candidates are stored in a prefix tree
+in the global order and the document walks it once. Common beginnings share their partial overlap, and a branch is left
+as soon as what remains of both sets can't reach the threshold, or when all below is linked to the walker already. So the
+components are those of all links, though copies are never compared in all pairs. Nothing is dropped or capped.
 
 Defined results: null text is empty text; an empty set is linked with nothing, not even with other empty sets; rows that
 repeat an id count as one document each and share its component; a null id has no component; other columns are ignored.
@@ -20,6 +22,7 @@ repeat an id count as one document each and share its component; a null id has n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +31,8 @@ from .common import drop_written, release, written
 from .components import connected_components
 
 EMPTY_PARTS = 1  # parts that may be empty before empty parts count too
-BLOCK_GRAMS = 1_000_000  # n-grams of the sets that one block holds, a single longer set apart
+TREE_GRAMS = 1_000_000  # n-grams of the sets that one prefix tree holds, a single longer set apart
+GROUP = 8192  # documents that share a part and are tried against each other in one piece
 
 
 def gram_set(text: str | None, n: int, words_seen: dict):
@@ -39,7 +43,7 @@ def gram_set(text: str | None, n: int, words_seen: dict):
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z only, and space, \t to \r
     if not words:
         return np.zeros(0, np.uint64)
-    if len(words_seen) > 500_000:
+    if len(words_seen) > 200_000:
         words_seen.clear()
     for w in set(words).difference(words_seen):
         words_seen[w] = xxhash.xxh3_64_intdigest(w)
@@ -97,11 +101,37 @@ def part_keys(grams, num: int, den: int, starts: list[int]):
     return np.concatenate(out)
 
 
+def parity(grams) -> bytes:
+    """A bit for each place an n-gram may hash to, set if an odd number does; as many as n-grams or up to twice as many."""
+    import numpy as np
+
+    m = max(64, 1 << (len(grams) - 1).bit_length())
+    return np.packbits(np.bincount((grams & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1, bitorder="little").tobytes()
+
+
+def fold(bits: bytes, size: int) -> bytes:
+    """The bitmap of ``size`` bytes that a longer one stands for."""
+    while len(bits) > size:
+        half = len(bits) // 2
+        bits = (int.from_bytes(bits[:half], "little") ^ int.from_bytes(bits[half:], "little")).to_bytes(half, "little")
+    return bits
+
+
+def may_link(size_a: int, bits_a: bytes, size_b: int, bits_b: bytes, num: int, den: int) -> bool:
+    """False only if the sizes or the bitmaps rule a link out."""
+    if min(size_a, size_b) * den < max(size_a, size_b) * num:
+        return False
+    n = min(len(bits_a), len(bits_b))
+    apart = (int.from_bytes(fold(bits_a, n), "little") ^ int.from_bytes(fold(bits_b, n), "little")).bit_count()
+    return apart * (den + num) <= (size_a + size_b) * (den - num)
+
+
 MOST = 1 << 34  # sizes beyond this have no class; no text is that long
 
 
 def sets_of(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Rows (id, size, h, keys) of ``docs`` (id, text): the size of the set, a 128-bit digest of it, its part keys."""
+    """Rows (id, size, h, bits, keys) of ``docs`` (id, text): the size of the set, a 128-bit digest of it, its parity
+    bitmap, its part keys."""
 
     def rows(batches: Iterator) -> Iterator:
         import numpy as np
@@ -112,17 +142,18 @@ def sets_of(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             for lo in range(0, batch.num_rows, 512):
-                size, digest, keys = [], [], []
+                size, digest, bits, keys = [], [], [], []
                 for text in batch.column(1)[lo : lo + 512]:
                     g = gram_set(text.as_py(), n, seen)
                     size.append(len(g))
                     digest.append(xxhash.xxh3_128_digest(g.tobytes()))
+                    bits.append(parity(g))
                     keys.append(part_keys(g, num, den, starts) if len(g) else g)
                 ends = np.cumsum([0, *map(len, keys)])
                 flat = pa.array(np.concatenate(keys).view(np.int64))
-                yield pa.RecordBatch.from_arrays([ids[lo : lo + 512], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["id", "size", "h", "keys"])
+                yield pa.RecordBatch.from_arrays([ids[lo : lo + 512], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["id", "size", "h", "bits", "keys"])
 
-    return docs.mapInArrow(rows, "id long, size long, h binary, keys array<long>")
+    return docs.mapInArrow(rows, "id long, size long, h binary, bits binary, keys array<long>")
 
 
 def grams_of(docs: DataFrame, n: int) -> DataFrame:
@@ -251,104 +282,144 @@ def tree_join(sets: list[bytes], num: int, den: int, forest: Forest, walkers: li
     return links
 
 
-def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", block_grams: int = BLOCK_GRAMS) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", tree_grams: int = TREE_GRAMS, group: int = GROUP) -> DataFrame:
     """Rows (``id_col``, ``n_shingles``, ``component_id``), one for each of ``docs``: the size of its set and the smallest
     id reachable by links, two documents being linked when ``den`` times the common n-grams >= ``num`` times all of theirs."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = written(sets_of(docs, n, num, den), "jaccard-sets")
-    classes = sets.where("size > 0 and id is not null").groupBy("size", "h").agg(F.min("id").alias("rep"))
-    reps = sets.where("size > 0").select("id", "size", "keys").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-
-    # documents that share a part: of those with one key, each is a candidate with the smallest
-    keyed = reps.select("id", F.explode("keys").alias("key"))
-    pairs = keyed.select("id", F.min("id").over(Window.partitionBy("key")).alias("a")).where("a <> id")
-    stars = written(pairs.select("a", F.col("id").alias("b")).distinct(), "jaccard-stars")
+    keyed = written(sets_of(docs, n, num, den), "jaccard-keys")
+    classes = keyed.where("size > 0 and id is not null").groupBy("size", "h").agg(F.min("id").alias("rep"))
+    reps = keyed.where("size > 0").select("id", "keys").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+
+    # documents that share a part, with the smallest of them
+    shared = reps.select("id", F.explode("keys").alias("key")).withColumn("a", F.min("id").over(Window.partitionBy("key"))).withColumn("z", F.max("id").over(Window.partitionBy("key")))
+    shared = written(shared.where("a <> z").select("key", "id", "a"), "jaccard-shared")
+    sets = written(keyed.select("id", "size", "h", "bits"), "jaccard-sets")
+    drop_written(keyed)
     release(spark)
-    members = written(connected_components(stars).select(F.col("component").alias("cluster"), F.col("node").alias("id")), "jaccard-members")
-    drop_written(stars)
-
-    texts = docs.join(members.select("id"), "id", "left_semi")
-    sized = F.expr("cast(length(grams) / 8 as long)")
-    grams = written(grams_of(texts, n).join(members, "id").select("cluster", "id", sized.alias("size"), "grams"), "jaccard-grams")
+    bits = sets.where("size > 0").select("id", "size", "bits")
+
+    # each against the smallest
+    stars = shared.where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    side = lambda c: bits.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}"))
+    tried = written(stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_filter(num, den), "a long, b long").distinct(), "jaccard-pairs")
+    ids = tried.select(F.col("a").alias("id")).unionAll(tried.select("b")).distinct()
+    links = written(_verify(tried, written(grams_of(docs.join(ids, "id", "left_semi"), n), "jaccard-grams"), bits, num, den, tree_grams), "jaccard-links")
     release(spark)
-    links = _link(grams, num, den, block_grams)
-    found = connected_components(links)
-    drop_written(grams, members)
 
+    # across components, where a part's documents are still apart
+    apart = grams = None
+    for turn in count():
+        found = written(connected_components(links), "jaccard-labels")
+        named = shared.join(found, shared["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+        many = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
+        odd = named.join(many.select("key", F.ceil(F.col("m") / group).cast("int").alias("n_blocks")), "key").join(bits, "id")
+        if grams is None:
+            apart = written(odd.select("id").distinct(), "jaccard-apart")
+            grams = written(grams_of(docs.join(apart, "id", "left_semi"), n), "jaccard-grams")
+            release(spark)
+        last = turn > 0 and not grew
+        dealt = odd.withColumn("block", F.pmod(F.xxhash64("id"), "n_blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        met = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "label", "size", "bits", F.xxhash64("id", F.lit(turn)).alias("order"))
+        met = met.withColumn("g", F.struct("key", "p", "q")).repartition("g").sortWithinPartitions("key", "p", "q", "order", "id").drop("g")
+        pairs = written(met.mapInArrow(_across(num, den, every=last), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        more = written(_verify(pairs, grams, bits, num, den, tree_grams), "jaccard-links")
+        grew = not more.isEmpty()
+        links = links.unionAll(more)
+        if last:
+            break
+        tried = tried.unionAll(pairs)
+    found = connected_components(links) if grew else found
+    drop_written(shared, apart, grams)
+
+    classes = sets.where("size > 0 and id is not null").groupBy("size", "h").agg(F.min("id").alias("rep"))
     classes = classes.join(found, classes["rep"] == found["node"], "left").select("size", "h", F.coalesce("component", "rep").alias("component"))
     same_id = sets.where("size > 0 and id is not null").join(classes, ["size", "h"]).groupBy("id").agg(F.min("component").alias("component"))
     mine = sets.select("id", "size").join(same_id, "id", "left")
     return mine.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _link(grams: DataFrame, num: int, den: int, block_grams: int) -> DataFrame:
-    """Links (a, b) that join the sets of each cluster; ``grams``: cluster, id, size, grams."""
-    total = grams.groupBy("cluster").agg(F.sum("size").alias("total"))
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / block_grams)).cast("int")
-    dealt = grams.join(total.withColumn("n_blocks", n_blocks).drop("total"), "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    # the cluster's first document is in each of its blocks
-    first = dealt.where("id = cluster and n_blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    once = dealt.where("not (id = cluster and n_blocks > 1)").unionByName(first)
-
-    def within(batches: Iterator) -> Iterator:
-        yield from _by_group(batches, lambda rows: [(rows[i][1], rows[j][1]) for i, j in tree_join([r[2] for r in rows], num, den, Forest(len(rows)))])
-
-    def small(df: DataFrame) -> DataFrame:
-        """Rows of one group side by side, in the group's own order."""
-        return df.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "id")
-
-    links = written(small(once.select("cluster", "block", "id", "grams")).mapInArrow(within, "a long, b long"), "jaccard-links")
-    large = dealt.where("n_blocks > 1")
-    if large.isEmpty():
-        return links
-
-    # clusters of several blocks that are not yet in one piece: documents outside the main piece meet all the others
-    labels = connected_components(links)
-    named = written(large.join(labels, large["id"] == labels["node"], "left").select("cluster", "block", "n_blocks", "id", "grams", F.coalesce("component", "id").alias("label")), "jaccard-named")
-    main = named.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
-    apart = named.join(main.select("cluster", "main"), "cluster")
-    odd = apart.where("label <> main").select("cluster", "n_blocks", F.col("block").alias("mine"), "id", "label", "grams", F.lit(True).alias("walks"))
-    held = odd.select("cluster", "mine").distinct()
-    others = apart.select("cluster", "block", "id", "label", "grams").join(held, "cluster").select("cluster", "mine", "block", "id", "label", "grams", F.lit(False).alias("walks"))
-    walkers = odd.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("cluster", "mine", "block", "id", "label", "grams", "walks")
-    both = walkers.unionByName(others).withColumn("pair", F.struct("mine", "block"))
-
-    def across(batches: Iterator) -> Iterator:
-        def work(rows):
-            place: dict[int, int] = {}
-            rows = [r for r in rows if r[1] not in place and not place.update({r[1]: len(place)})]  # a walker may be held too
-            forest, of = Forest(len(rows)), {}
-            for i, r in enumerate(rows):
-                forest.join(i, of.setdefault(r[3], i))
-            walk = [i for i, r in enumerate(rows) if r[4]]
-            return [(rows[i][1], rows[j][1]) for i, j in tree_join([r[2] for r in rows], num, den, forest, walk)]
-
-        yield from _by_group(batches, work)
-
-    pairs = both.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair", F.desc("walks"), "id").select(F.struct("cluster", "pair").alias("g"), "id", "grams", "label", "walks")
-    more = written(pairs.select(F.col("g.cluster").alias("cluster"), F.concat_ws("-", "g.pair.mine", "g.pair.block").alias("block"), "id", "grams", "label", "walks").mapInArrow(across, "a long, b long"), "jaccard-more")
-    return links.unionAll(more)
-
-
-def _by_group(batches: Iterator, work) -> Iterator:
-    """Apply ``work`` to the rows (group, id, grams, label, walks) of each run of equal first two columns."""
+def _pairs(pairs: list):
     import pyarrow as pa
 
-    group, rows = None, []
-
-    def done():
-        found = work(rows) if len(rows) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
-    for batch in batches:
-        names = batch.schema.names
-        extra = [batch.column(c).to_pylist() if c in names else [None] * batch.num_rows for c in ("label", "walks")]
-        for key, block, i, g, label, walks in zip(batch.column("cluster").to_pylist(), batch.column("block").to_pylist(), batch.column("id").to_pylist(), batch.column("grams"), *extra):
-            if (key, block) != group:
-                if rows:
-                    yield done()
-                group, rows = (key, block), []
-            rows.append(((key, block), i, g.as_py(), label, walks))
-    if rows:
-        yield done()
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
+
+
+def _filter(num: int, den: int):
+    """Of rows (a, b, their sizes and bitmaps), the pairs that may link."""
+
+    def rows(batches: Iterator) -> Iterator:
+        for batch in batches:
+            c = {k: batch.column(k).to_pylist() for k in ("a", "b", "size_a", "bits_a", "size_b", "bits_b")}
+            yield _pairs([(a, b) for a, b, *x in zip(*c.values()) if may_link(*x, num, den)])
+
+    return rows
+
+
+def _across(num: int, den: int, every: bool):
+    """Of rows (key, p, q, block, id, label, size, bits), sorted by the first three, pairs of one key and different labels
+    that may link, within a block if p = q, else between the two: ``every`` such pair, or for each row the nearest
+    and the first."""
+
+    def work(rows: list, across: bool) -> list[tuple[int, int]]:
+        import numpy as np
+
+        n = min(len(r[4]) for r in rows)
+        words = np.frombuffer(b"".join(fold(r[4], n) for r in rows), np.uint64).reshape(len(rows), -1)
+        block, ids, labels, sizes = (np.array([r[k] for r in rows]) for k in range(4))
+        out = []
+        for i in range(len(rows)):
+            lo = i + 1 if every else 0
+            other = (labels[lo:] != labels[i]) & (ids[lo:] != ids[i])
+            if across:
+                other &= block[lo:] != block[i]
+            where = lo + np.flatnonzero(other)
+            apart = np.bitwise_count(words[where] ^ words[i]).sum(1)
+            small, large = np.minimum(sizes[where], sizes[i]), np.maximum(sizes[where], sizes[i])
+            fine = (apart * (den + num) <= (small + large) * (den - num)) & (small * den >= large * num)
+            where, apart = where[fine], apart[fine]
+            if not every and len(where):
+                where = where[[0, apart.argmin()]]
+            out += [(min(ids[i], j), max(ids[i], j)) for j in ids[where]]
+        return out
+
+    def groups(batches: Iterator) -> Iterator:
+        now, rows = None, []
+        for batch in batches:
+            c = [batch.column(k).to_pylist() for k in ("key", "p", "q", "block", "id", "label", "size", "bits")]
+            for key, p, q, *row in zip(*c):
+                if (key, p, q) != now:
+                    if len(rows) > 1:
+                        yield _pairs(work(rows, now[1] != now[2]))
+                    now, rows = (key, p, q), []
+                rows.append(row)
+        if len(rows) > 1:
+            yield _pairs(work(rows, now[1] != now[2]))
+
+    return groups
+
+
+def _verify(pairs: DataFrame, grams: DataFrame, bits: DataFrame, num: int, den: int, tree_grams: int) -> DataFrame:
+    """The links among ``pairs`` (a, b): for each ``a`` its candidates meet in prefix trees of bounded size, and ``a`` walks each."""
+    total = pairs.join(bits.select(F.col("id").alias("b"), "size"), "b").groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / tree_grams)).cast("int").alias("trees"))
+    held = pairs.join(total, "a").select("a", F.pmod(F.xxhash64("b"), "trees").cast("int").alias("tree"), F.col("b").alias("id"))
+    walkers = total.select("a", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"), F.col("a").alias("id"))
+    met = held.unionByName(walkers).join(grams, "id").withColumn("g", F.struct("a", "tree")).repartition("g").sortWithinPartitions("a", "tree", "id").drop("g")
+
+    def walk(batches: Iterator) -> Iterator:
+        def work(a: int, rows: list) -> list[tuple[int, int]]:
+            me = [i for i, r in enumerate(rows) if r[0] == a]  # more than one only where rows repeat an id
+            return [(rows[i][0], rows[j][0]) for i, j in tree_join([r[1] for r in rows], num, den, Forest(len(rows)), me)]
+
+        now, rows = None, []
+        for batch in batches:
+            for a, tree, i, g in zip(batch.column("a").to_pylist(), batch.column("tree").to_pylist(), batch.column("id").to_pylist(), batch.column("grams")):
+                if (a, tree) != now:
+                    if len(rows) > 1:
+                        yield _pairs(work(now[0], rows))
+                    now, rows = (a, tree), []
+                rows.append((i, g.as_py()))
+        if len(rows) > 1:
+            yield _pairs(work(now[0], rows))
+
+    return met.select("a", "tree", "id", "grams").mapInArrow(walk, "a long, b long")

@@ -65,10 +65,21 @@ ODD = [(1000, None), (1001, ""), (1002, " \t\n"), (1003, "One two"), (1004, "one
 def test_equals_all_pairs(spark, n, num, den, block):
     rows = corpus(n) + ODD
     df = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], "doc_id long, text string, key string, size int").repartition(3)
-    got = sorted(tuple(r) for r in j.join(df, n, num, den, block_grams=block).collect())
+    got = sorted(tuple(r) for r in j.join(df, n, num, den, tree_grams=block, group=max(2, block // 100)).collect())
     assert got == brute(rows, n, num, den)
 
 
+def test_bitmaps_rule_out_no_link():
+    r = random.Random(8)
+    rows = [t for _, t in corpus(9, 120)]
+    for n, num, den in ((3, 9, 10), (5, 8, 10)):
+        sets = [(shingles(t, n), j.gram_set(t, n, {})) for t in rows]
+        for (x, gx), (y, gy) in (r.sample(sets, 2) for _ in range(3000)):
+            assert len(x) == len(gx)
+            if den * len(x & y) >= num * len(x | y):
+                assert j.may_link(len(gx), j.parity(gx), len(gy), j.parity(gy), num, den)
+
+
 def test_repeated_rows_null_ids_and_no_rows(spark):
     text = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(5, text), (5, text), (None, text), (9, text + " z")], "doc_id long, text string")
