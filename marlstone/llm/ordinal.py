@@ -152,7 +152,7 @@ def score(docs: DataFrame, model: Model, cut: int, text_col: str = "text") -> Da
             scores = []
             for t in batch.column(text_col):
                 shape, words = shape_and_words(t.as_py())
-                if len(known) > 500_000:
+                if len(known) > 200_000:
                     known.clear()
                 for word in words.difference(known):
                     known[word] = float(weights[slot(word)])
