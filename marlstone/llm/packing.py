@@ -14,18 +14,63 @@ a null id stays null; other columns are not carried.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .word_split import Splitter, encode_words, load, tokenizer_path
+from .word_split import FAST_LOWER_WORDS, Splitter, encode_words, load, tokenizer_path
 
 WORD_BPE = "word_bpe_49k.json"
 WIDTH = 2048
 END_ID = 1
-CACHE_WORDS = 400_000  # words whose ids a task remembers before it starts anew
+CACHE_PARTS = 800_000  # parts of texts whose ids a worker remembers before it starts anew
+
+
+class Parts(dict):
+    """Ids, as bytes, of the parts of texts between white space; found when they are first asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, part: str) -> bytes:
+        if part.isalpha():
+            ids = self.words([part])
+        elif part[:-1].isalpha() and not part[-1].isalnum():
+            ids = self[part[:-1]] + self[part[-1]]
+        else:
+            ids = self.words(FAST_LOWER_WORDS.findall(part))
+        self[part] = ids
+        return ids
+
+    def words(self, words: list[str]) -> bytes:
+        return array("I", [i for x in encode_words(self.tokenizer, words) for i in x]).tobytes()
+
+
+class Coder:
+    """Ids of texts, as bytes. A worker has one for all of its tasks, so that it encodes few parts twice."""
+
+    _kept: dict[str, Coder] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Coder:
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
+
+    def __init__(self, path: str):
+        self.tokenizer = load(path)
+        self.splitter, self.parts = Splitter(self.tokenizer), Parts(self.tokenizer)
+
+    def encode(self, text: str) -> bytes:
+        chunks = self.splitter.chunks(text)
+        if chunks is None:
+            return self.parts.words(self.splitter.split(text))
+        if len(self.parts) > CACHE_PARTS:
+            self.parts = Parts(self.tokenizer)
+        return b"".join(map(self.parts.__getitem__, chunks))
 
 
 def cut(docs: DataFrame, path: str | None = None, width: int = WIDTH, end_id: int = END_ID) -> DataFrame:
@@ -39,19 +84,13 @@ def cut(docs: DataFrame, path: str | None = None, width: int = WIDTH, end_id: in
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tokenizer = load(path)
-        splitter, known, counts = Splitter(tokenizer), {}, [0] * (width + 1)
+        coder, counts = Coder.of(path), [0] * (width + 1)
         task, mark = TaskContext.get().partitionId(), struct.pack("<I", end_id)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                texts = [splitter.split(t.as_py() or "") for t in batch.column(1)[lo : lo + 256]]
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                new = list({w for words in texts for w in words}.difference(known))
-                known.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in zip(new, encode_words(tokenizer, new)))
                 out: list[list] = [[] for _ in range(6)]
-                for doc_id, words in zip(batch.column(0)[lo : lo + 256].to_pylist(), texts):
-                    data = b"".join(map(known.__getitem__, words)) + mark
+                for doc_id, text in zip(batch.column(0)[lo : lo + 256].to_pylist(), batch.column(1)[lo : lo + 256]):
+                    data = coder.encode(text.as_py() or "") + mark
                     total = len(data) // 4
                     for start in range(0, total, width):
                         size = min(width, total - start)
