@@ -112,6 +112,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
+def _secret_sql() -> str:
+    """Spans from the pieces that each expression splits a text into, and the matches between them. RE2 folds cases beyond
+    ASCII, so letters are spelt in both."""
+    import re
+
+    from .secret_scan import RULES
+
+    columns, lists = [], []
+    for n, r in enumerate(RULES):
+        regex = re.sub(r"(?<!\\)[a-z](?![^\[]*\])", lambda m: f"[{m[0].upper()}{m[0]}]", r.regex.replace("\\x20", " ")) if r.any_case else r.regex
+        regex = regex.replace("'", "''")
+        columns += [f"list_transform(string_split_regex(t, '{regex}'), lambda x: length(x)) as p{n}", f"list_transform(regexp_extract_all(t, '{regex}'), lambda x: length(x)) as m{n}", f"list_transform(regexp_extract_all(t, '{regex}', {r.group}), lambda x: length(x)) as g{n}"]
+        lists.append(
+            f"list_filter(list_transform(range(1, len(m{n}) + 1), lambda i: {{'s': cast(list_sum(p{n}[1:i]) + coalesce(list_sum(m{n}[1:i-1]), 0) as bigint), 'r': {n}, 'n': m{n}[i], 'g': g{n}[i], 'k': '{r.kind}'}}), lambda x: x.g >= {r.least})"
+        )
+    joined = "array_to_string(list_transform({}, lambda x: x.k || ':' || x.s || ':' || (x.s + x.n)), ',')"
+    base = "list_filter(f, lambda x: x.r < 3)"
+    return f"""with d as (select doc_id, coalesce("text", '') as t from documents), e as materialized (select doc_id, {', '.join(columns)} from d), s as (select doc_id, list_sort(flatten([{', '.join(lists)}])) as f from e)
+select doc_id, cast(len(list_filter(f, lambda x: x.r = 0)) as bigint) as n_assign, cast(len(list_filter(f, lambda x: x.r = 1)) as bigint) as n_access, cast(len(list_filter(f, lambda x: x.r = 2)) as bigint) as n_hex,
+sha256({joined.format(base)}) as base_sha256, {joined.format('f')} as spans from s"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": r"""
 with rows as (
@@ -129,4 +151,33 @@ select conv_id, count(*) as n_turns,
   cast(sum(length(replace(r, ':', '\c')) + length(b) + 14) as bigint) as formatted_chars
 from coded group by conv_id
 """,
+    "op6_warc": """
+with q as (select page_id, coalesce(html, '') as h from pages), f as (select page_id, strlen(h) as payload_bytes, sha1(h) as x, min(page_id) over (partition by h) as first from q)
+select page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(x, cast(i // 8 * 10 + 1 as bigint), 10) as bigint) >> (35 - 5 * (i % 8))) & 31 as bigint) + 1, 1)), '') as payload_digest,
+case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from f
+""",
+    "op4_near_vectors": """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where label is not null and embedding is not null),
+w as (select vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as len from v),
+l as (select a.vec_id as a, b.vec_id as b from w a join w b on a.label = b.label and a.vec_id <> b.vec_id where list_inner_product(a.e, b.e) / (a.len * b.len) >= 0.98),
+r(root, node) as (select vec_id, vec_id from embeddings union select r.root, l.b from r join l on r.node = l.a)
+select e.vec_id, (select count(*) from l where l.a = e.vec_id) as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join (select node, min(root) as component_id from r group by node) c on c.node = e.vec_id
+""",
+    "op8_hilbert_search": """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where embedding is not null),
+s as (select q.vec_id as query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]), lambda x, y: x + y) as score from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id)
+select query_id, cast(rank as integer) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) t where rank <= 20
+""",
+    "op10_jaccard_join": r"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end)) as g from d),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)),
+e as (select a, b from l union all select b, a from l),
+r(root, node) as (select doc_id, doc_id from documents union select r.root, e.b from r join e on r.node = e.a)
+select documents.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id from documents left join n using (doc_id) join (select node, min(root) as component_id from r group by node) c on c.node = documents.doc_id
+""",
+    "op2_secret_scan": _secret_sql(),
 }
