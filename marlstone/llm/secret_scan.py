@@ -104,7 +104,8 @@ def postings(docs: DataFrame, id_col: str, text_col: str, grams: list[str]) -> D
     """The inverted index for ``grams``: rows (``__gram``, ``__sid``)."""
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     held = docs.select(F.col(id_col).alias("__sid"), low.alias("__low")).select("__sid", F.array_compact(F.array(*(F.when(F.contains("__low", F.lit(g)), F.lit(g)) for g in grams))).alias("__g"))
-    return held.select("__sid", F.explode("__g").alias("__gram"))
+    # outer: for a plain explode, Spark would test the array's size below, computing each of its parts twice
+    return held.select("__sid", F.explode_outer("__g").alias("__gram")).where("__gram is not null")
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...] = RULES) -> DataFrame | None:
