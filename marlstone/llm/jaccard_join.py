@@ -303,34 +303,32 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str =
     stars = shared.where("a <> id").select("a", F.col("id").alias("b")).distinct()
     side = lambda c: bits.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}"))
     tried = written(stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_filter(num, den), "a long, b long").distinct(), "jaccard-pairs")
-    ids = tried.select(F.col("a").alias("id")).unionAll(tried.select("b")).distinct()
-    links = written(_verify(tried, written(grams_of(docs.join(ids, "id", "left_semi"), n), "jaccard-grams"), bits, num, den, tree_grams), "jaccard-links")
+    links = written(_verify(tried, docs, bits, n, num, den, tree_grams), "jaccard-links")
     release(spark)
 
     # across components, where a part's documents are still apart
-    apart = grams = None
     for turn in count():
         found = written(connected_components(links), "jaccard-labels")
         named = shared.join(found, shared["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("label"))
         many = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
         odd = named.join(many.select("key", F.ceil(F.col("m") / group).cast("int").alias("n_blocks")), "key").join(bits, "id")
-        if grams is None:
-            apart = written(odd.select("id").distinct(), "jaccard-apart")
-            grams = written(grams_of(docs.join(apart, "id", "left_semi"), n), "jaccard-grams")
-            release(spark)
         last = turn > 0 and not grew
         dealt = odd.withColumn("block", F.pmod(F.xxhash64("id"), "n_blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        met = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "label", "size", "bits", F.xxhash64("id", F.lit(turn)).alias("order"))
-        met = met.withColumn("g", F.struct("key", "p", "q")).repartition("g").sortWithinPartitions("key", "p", "q", "order", "id").drop("g")
-        pairs = written(met.mapInArrow(_across(num, den, every=last), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-        more = written(_verify(pairs, grams, bits, num, den, tree_grams), "jaccard-links")
+        met = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "label", "size", "bits")
+        met = met.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", F.xxhash64("id", F.lit(turn)), "id")
+        near = written(met.mapInArrow(_across(num, den, every=last), "key long, a long, b long"), "jaccard-near")
+        release(spark)
+        pairs = written(near.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        more = written(_verify(pairs, docs, bits, n, num, den, tree_grams), "jaccard-links")
         grew = not more.isEmpty()
         links = links.unionAll(more)
         if last:
             break
         tried = tried.unionAll(pairs)
+        # where no two may link across components now, none may later
+        shared = written(shared.join(near.select("key").distinct(), "key", "left_semi"), "jaccard-shared")
+        release(spark)
     found = connected_components(links) if grew else found
-    drop_written(shared, apart, grams)
 
     classes = sets.where("size > 0 and id is not null").groupBy("size", "h").agg(F.min("id").alias("rep"))
     classes = classes.join(found, classes["rep"] == found["node"], "left").select("size", "h", F.coalesce("component", "rep").alias("component"))
@@ -361,9 +359,33 @@ def _across(num: int, den: int, every: bool):
     that may link, within a block if p = q, else between the two: ``every`` such pair, or for each row the nearest
     and the first."""
 
+    def few(rows: list, across: bool) -> list[tuple[int, int]]:
+        """As below, for a handful of rows."""
+        n = min(len(r[4]) for r in rows)
+        words = [int.from_bytes(fold(r[4], n), "little") for r in rows]
+        out = []
+        for i, (block, id_, label, size, _) in enumerate(rows):
+            first = near = None
+            for j in range(i + 1 if every else 0, len(rows)):
+                b, other, name, s, _ = rows[j]
+                if name == label or other == id_ or across and b == block or min(s, size) * den < max(s, size) * num:
+                    continue
+                apart = (words[i] ^ words[j]).bit_count()
+                if apart * (den + num) > (s + size) * (den - num):
+                    continue
+                if every:
+                    out.append((min(id_, other), max(id_, other)))
+                else:
+                    first = first or (apart, other)
+                    near = min(near or first, (apart, other))
+            out += [(min(id_, o), max(id_, o)) for _, o in {x for x in (first, near) if x}]
+        return out
+
     def work(rows: list, across: bool) -> list[tuple[int, int]]:
         import numpy as np
 
+        if len(rows) <= 16:
+            return few(rows, across)
         n = min(len(r[4]) for r in rows)
         words = np.frombuffer(b"".join(fold(r[4], n) for r in rows), np.uint64).reshape(len(rows), -1)
         block, ids, labels, sizes = (np.array([r[k] for r in rows]) for k in range(4))
@@ -384,23 +406,35 @@ def _across(num: int, den: int, every: bool):
         return out
 
     def groups(batches: Iterator) -> Iterator:
-        now, rows = None, []
+        import pyarrow as pa
+
+        def keyed(out: list):
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["key", "a", "b"])
+
+        now, rows, out = None, [], []
         for batch in batches:
             c = [batch.column(k).to_pylist() for k in ("key", "p", "q", "block", "id", "label", "size", "bits")]
             for key, p, q, *row in zip(*c):
                 if (key, p, q) != now:
                     if len(rows) > 1:
-                        yield _pairs(work(rows, now[1] != now[2]))
+                        out += [(now[0], a, b) for a, b in work(rows, now[1] != now[2])]
                     now, rows = (key, p, q), []
+                    if len(out) > 5000:
+                        yield keyed(out)
+                        out = []
                 rows.append(row)
         if len(rows) > 1:
-            yield _pairs(work(rows, now[1] != now[2]))
+            out += [(now[0], a, b) for a, b in work(rows, now[1] != now[2])]
+        if out:
+            yield keyed(out)
 
     return groups
 
 
-def _verify(pairs: DataFrame, grams: DataFrame, bits: DataFrame, num: int, den: int, tree_grams: int) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, bits: DataFrame, n: int, num: int, den: int, tree_grams: int) -> DataFrame:
     """The links among ``pairs`` (a, b): for each ``a`` its candidates meet in prefix trees of bounded size, and ``a`` walks each."""
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    grams = grams_of(docs.join(ids, "id", "left_semi").select("id", "text"), n)
     total = pairs.join(bits.select(F.col("id").alias("b"), "size"), "b").groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / tree_grams)).cast("int").alias("trees"))
     held = pairs.join(total, "a").select("a", F.pmod(F.xxhash64("b"), "trees").cast("int").alias("tree"), F.col("b").alias("id"))
     walkers = total.select("a", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"), F.col("a").alias("id"))
