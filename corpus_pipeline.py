@@ -2,7 +2,7 @@
 
 1. quality classifier: documents that are more likely toxic or junk than good go;
 2. n-gram Jaccard join: of each group of near copies (five-word shingles, similarity 0.8) the smallest id stays;
-3. substring dedup: passages that an earlier document holds are cut out; documents of which nothing is left go;
+3. substring dedup: passages and whole lines that an earlier document holds are cut out; documents of which nothing is left go;
 4. secret scans: found secrets are masked;
 5. packing: documents are tokenised and packed into sequences.
 
@@ -31,7 +31,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = line_dedup.remove(docs, line_dedup.repeats(docs))
+    left = line_dedup.remove(docs, line_dedup.repeats(docs, line_words=line_dedup.LINE_WORDS))
     gone = (F.size("removed") > 0) & (F.trim("text") == "")
     return _sized(left.where(~F.coalesce(gone, F.lit(False))), docs)
 

@@ -4,8 +4,9 @@ A text is cut into units at line ends, after sentence ends and before capitalise
 units wherever it stands in a line. A unit is normalised (lower case, white space made single) and hashed to 128 bits.
 Digests are grouped over all documents; the occurrence in the document ranked first (smallest id), first in its text,
 stays, and the others are repeats. Repeats are removed in runs of neighbouring repeated units of ``min_words`` words or
-more, so that short sentences that any two texts have in common stay where they are. Offsets are those of the original
-text, in code points.
+more, so that short sentences that any two texts have in common stay where they are. With ``line_words``, a whole line of
+so many words that an earlier line equals is a repeat too, however short the run it stands in. Offsets are those of the
+original text, in code points.
 
 A digest that very many documents share is counted map-side first; the join back meets one row for it, and Spark can
 split its other side.
@@ -25,14 +26,18 @@ from pyspark.sql import functions as F
 from .common import release, written
 
 MIN_WORDS = 20
+#: Whole lines of fewer words stay: list marks, single words, short headings.
+LINE_WORDS = 3
 #: Where a unit begins: after these (fixed values).
 BREAKS = r"\s*\n\s*|(?<=[.!?。！？])\s+|(?<=[。！？])|\s+(?=\p{Lu})"
 LAST = (1 << 63) - 1
 
 
-def units_of(docs: DataFrame) -> DataFrame:
-    """Rows (id, hash, starts, words, same, d1, d2) of ``docs`` (id, text, hash): per unit the start (one more entry: the text's
-    end), the count of words, the number of the first equal unit in this text, and the two halves of its digest."""
+def units_of(docs: DataFrame, line_words: int | None = None) -> DataFrame:
+    """Rows (id, hash, starts, words, lines, same, d1, d2) of ``docs`` (id, text, hash): per unit the start (one more entry: the
+    text's end), the count of words, the number of the first equal unit in this text, and the two halves of its digest.
+    The last three go on with whole lines of ``line_words`` words or more; ``lines`` has the first unit of each and the unit
+    after it. A line's digest never is a unit's."""
 
     def rows(batches: Iterator) -> Iterator:
         import numpy as np
@@ -43,7 +48,7 @@ def units_of(docs: DataFrame) -> DataFrame:
         breaks = regex.compile(BREAKS)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                starts, counts, same, digests, sizes = [], [], [], [], []
+                starts, counts, lines, same, digests, sizes = [], [], [], [], [], []
                 for text in batch.column(1)[lo : lo + 256]:
                     text = text.as_py() or ""
                     cuts = [0, *(m.end() for m in breaks.finditer(text))]
@@ -52,31 +57,44 @@ def units_of(docs: DataFrame) -> DataFrame:
                     if not text:
                         cuts = [0]
                     seen: dict[bytes, int] = {}
+                    pieces, own = [], []
                     for at, (a, b) in enumerate(zip(cuts, cuts[1:])):
                         words = text[a:b].lower().split()
-                        d = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+                        pieces.append(" ".join(words).encode("utf-8", "surrogatepass"))
+                        d = xxhash.xxh3_128_digest(pieces[-1])
                         counts.append(len(words))
                         same.append(seen.setdefault(d, at))
                         digests.append(d)
+                    if line_words is not None and pieces:
+                        n = counts[-len(pieces) :]
+                        first = [at for at in range(len(pieces)) if not at or "\n" in text[cuts[at - 1] : cuts[at]]]
+                        for a, b in zip(first, [*first[1:], len(pieces)]):
+                            if sum(n[a:b]) >= line_words:
+                                d = xxhash.xxh3_128_digest(b"\n" + b" ".join(filter(None, pieces[a:b])))
+                                same.append(seen.setdefault(d, len(pieces) + len(own) // 2))
+                                digests.append(d)
+                                own += (a, b)
                     starts += cuts
-                    sizes.append(len(cuts))
-                ends = np.cumsum([0, *sizes])
-                less = ends - np.arange(len(ends))
+                    lines += own
+                    sizes.append((len(cuts), len(pieces), len(own), len(pieces) + len(own) // 2))
+                ends, less, pairs, all_ = np.vstack([np.zeros((1, 4), np.int64), np.cumsum(sizes, axis=0)]).T
                 lists = lambda at, v: pa.ListArray.from_arrays(pa.array(at, pa.int32()), v)
                 d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo : lo + 256], batch.column(2)[lo : lo + 256], lists(ends, pa.array(starts, pa.int32())), lists(less, pa.array(counts, pa.int32())), lists(less, pa.array(same, pa.int32())), lists(less, pa.array(d[:, 0])), lists(less, pa.array(d[:, 1]))],
-                    names=["id", "hash", "starts", "words", "same", "d1", "d2"],
+                    [batch.column(0)[lo : lo + 256], batch.column(2)[lo : lo + 256], lists(ends, pa.array(starts, pa.int32())), lists(less, pa.array(counts, pa.int32())), lists(pairs, pa.array(lines, pa.int32())), lists(all_, pa.array(same, pa.int32())), lists(all_, pa.array(d[:, 0])), lists(all_, pa.array(d[:, 1]))],
+                    names=["id", "hash", "starts", "words", "lines", "same", "d1", "d2"],
                 )
 
-    return docs.mapInArrow(rows, "id long, hash long, starts array<int>, words array<int>, same array<int>, d1 array<long>, d2 array<long>")
+    return docs.mapInArrow(rows, "id long, hash long, starts array<int>, words array<int>, lines array<int>, same array<int>, d1 array<long>, d2 array<long>")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (``id_col``, start, end, n_words, first_id, text_hash): the runs to remove, the document that keeps the run's
-    first unit, and Spark's xxhash64 of the whole text, which tells rows of one id apart."""
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, line_words: int | None = None) -> DataFrame:
+    """Rows (``id_col``, start, end, n_words, first_id, text_hash): the stretches to remove, the document that keeps the
+    stretch's first unit (or line, where only the line repeats), and Spark's xxhash64 of the whole text, which tells rows of
+    one id apart. Stretches are runs of repeated units of ``min_words`` words or more and, with ``line_words``, repeated whole
+    lines of so many words; those that touch are one."""
     docs = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
-    texts = written(units_of(docs), "dedup-units")
+    texts = written(units_of(docs, line_words), "dedup-units")
     each = texts.select("id", "hash", F.posexplode(F.arrays_zip("d1", "d2", "same")).alias("at", "u")).where("u.same = at").select("id", "hash", "at", "u.d1", "u.d2")
     shared = each.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").drop("last")
     later = each.join(shared, ["d1", "d2"]).where("id > first").select("id", "hash", F.struct("at", "first").alias("r"))
@@ -91,29 +109,39 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
             for row in batch.to_pylist():
                 first = {r["at"]: r["first"] for r in row["repeats"] or ()}
                 first |= {at: first.get(x, row["id"]) for at, x in enumerate(row["same"]) if x != at}
-                starts, words = row["starts"], row["words"]
-                at = 0
-                while at < len(words):
-                    if at not in first:
-                        at += 1
-                        continue
-                    end = at
-                    while end < len(words) and end in first:
-                        end += 1
-                    n = sum(words[at:end])
-                    if n >= min_words:
-                        for column, value in zip(out, (row["id"], starts[at], starts[end], n, first[at], row["hash"])):
-                            column.append(value)
-                    at = end
+                starts, words, lines = row["starts"], row["words"], row["lines"]
+                gone: dict[int, int] = {}  # units to remove, with the document that keeps them
+                for at, end in _runs(first, len(words)):
+                    if sum(words[at:end]) >= min_words:
+                        gone |= {x: first[x] for x in range(at, end)}
+                for k, (at, end) in enumerate(zip(lines[::2], lines[1::2]), len(words)):
+                    if k in first:
+                        for x in range(at, end):
+                            gone.setdefault(x, first[k])
+                for at, end in _runs(gone, len(words)):
+                    for column, value in zip(out, (row["id"], starts[at], starts[end], sum(words[at:end]), gone[at], row["hash"])):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["id", "start", "end", "n_words", "first_id", "text_hash"])
 
-    only = texts.select("id", "hash", "starts", "words", "same")
+    only = texts.select("id", "hash", "starts", "words", "lines", "same")
     candidates = only.join(found, ["id", "hash"], "left").where("repeats is not null or size(array_distinct(same)) < size(same)")
     spans = candidates.mapInArrow(runs, "id long, start long, end long, n_words long, first_id long, text_hash long")
     back = lambda c: F.when(F.col(c) != LAST, F.col(c))
     return spans.select(back("id").alias(id_col), "start", "end", "n_words", back("first_id").alias("first_id"), "text_hash")
 
 
+def _runs(held, n: int) -> Iterator[tuple[int, int]]:
+    """Where the neighbouring numbers below ``n`` that are in ``held`` begin and end."""
+    at = 0
+    while at < n:
+        end = at
+        while end < n and end in held:
+            end += 1
+        if end > at:
+            yield at, end
+        at = max(end, at + 1)
+
+
 def remove(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the spans cut out of the texts, and ``removed``: those spans, by original offset."""
     key = F.coalesce(F.col(id_col), F.lit(LAST))

@@ -66,7 +66,7 @@ def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_dedup as c
 
-    return c.repeats(table(spark, sf_dir, "documents"))
+    return c.repeats(table(spark, sf_dir, "documents"), line_words=c.LINE_WORDS)
 
 
 def op8_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
