@@ -1,7 +1,8 @@
 """Substring dedup by hashing lines and the sentences in them.
 
-A text is cut into units at line ends, after sentence ends and before capitalised words, so that a passage has the same
-units wherever it stands in a line. A unit is normalised (lower case, white space made single) and hashed to 128 bits.
+A text is cut into units at line ends, after sentence ends and before capitalised words, so that a passage made of whole
+units has the same ones wherever it stands in a line. A unit in which a passage begins, ends or is edited differs as a
+whole, so equal words in it are not found, however many. A unit is normalised (lower case, white space made single) and hashed to 128 bits.
 Digests are grouped over all documents; the occurrence in the document ranked first (smallest id), first in its text,
 stays, and the others are repeats. Repeats are removed in runs of neighbouring repeated units of ``min_words`` words or
 more, so that short sentences that any two texts have in common stay where they are. With ``line_words``, a whole line of
