@@ -40,6 +40,11 @@ class Rule:
         return ("(?i)" if self.any_case else "") + self.regex
 
 
+# of a private key: the headers of an encrypted one; then all to the END line or, without one, the base64 that follows, if
+# that begins with 40 characters in a row. Breaks may be written as \n; no group is repeated, which Java would do on its stack
+_HEAD = r"([\\rn\x09\x0A\x0D\x20]*Proc-Type:[^-]*DEK-Info: *[A-Z0-9-]+,[0-9A-Fa-f]+)?"
+_BODY = r"([^-]*-----END [A-Z ]*PRIVATE KEY-----|[\x09\x0A\x0D\x20]*[\\A-Za-z0-9+/=]{40,}[\\A-Za-z0-9+/=\x09\x0A\x0D\x20]*)?"
+
 #: Fixed values. The first three are the base rules; kinds are listed in this order wherever spans tie.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2, True),
@@ -47,7 +52,7 @@ RULES = (
     Rule("hex", r"[0-9a-f]+", 24),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----{_HEAD}{_BODY}"),
 )
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 MASK = "[REDACTED]"
