@@ -5,10 +5,19 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_ROWS = 1024
+
+
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,20 +39,40 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that a lost executor costs only what follows."""
+    """Write ``df`` to the shared folder and read it back, so that a lost executor costs only what follows. The folder is
+    deleted when the driver ends, if ``drop_written`` has not done so before."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    _files(df.sparkSession, path, "deleteOnExit")
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Within it, at most ``rows`` rows at a time go to a Python worker: whole texts are wide rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop_written(*tables: DataFrame) -> None:
-    """Remove tables made by ``written`` that nothing reads any more, and let Spark drop finished shuffles."""
+    """Remove tables made by ``written`` that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _files(df.sparkSession, df._written_to, "delete", True)
+
+
+def _files(spark: SparkSession, path: str, call: str, *args) -> None:
+    """Hadoop's ``FileSystem.call(path, *args)``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    getattr(p.getFileSystem(spark._jsc.hadoopConfiguration()), call)(p, *args)
 
 
 def release(spark: SparkSession) -> None:

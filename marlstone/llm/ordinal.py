@@ -21,9 +21,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .common import quoted
 
 SAMPLE = 12_000
 BITS = 18
+BLOCK = 1024  # sampled rows whose words are computed at a time on the driver
 RARE = 600  # hashed words of fewer than one in so many sampled documents get no weight
 SHAPE = 6  # figures of the text's shape, in the first places
 _RUNS = re.compile(rb"[!-/:-@\[-`{-~]{2,4}|\|")
@@ -87,26 +91,40 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id"
     rated = ratings.select(F.col(id_col).alias("id"), F.col("grade").cast("int").alias("grade")).where(f"id is not null and grade between 0 and {grades - 1}")
     chosen = rated.orderBy(F.xxhash64("id"), "id", "grade").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = features(texts.join(F.broadcast(chosen), "id")).toArrow()  # `sample` short rows, unless ids repeat
-    return fit_rows(rows.sort_by([("id", "ascending"), ("grade", "ascending")]), grades, rounds, l2)
+    # `sample` short rows at most, also where rows repeat an id
+    rows = features(texts.join(F.broadcast(chosen), "id")).orderBy(F.xxhash64("id"), "id", "grade", F.xxhash64("slots", "shape")).limit(sample)
+    return fit_rows(rows.toArrow(), grades, rounds, l2)
 
 
 def fit_rows(rows, grades: int, rounds: int = 300, l2: float = 2e-4) -> Model:
     """Adam on the mean negative log likelihood over all rows at once."""
     import numpy as np
+    import pyarrow as pa
 
     n, size = rows.num_rows, 1 << BITS
     if not n:
         return Model(np.zeros(size), tuple(float(np.log(k / (grades - k))) for k in range(1, grades)), 0)
-    flat = lambda c: rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
     y = rows.column("grade").to_numpy()
-    slots, shape = flat("slots").astype(np.int64), flat("shape").reshape(n, SHAPE)
-    counts = np.array([len(x) for x in rows.column("slots")])
-    row = np.repeat(np.arange(n), counts)
-    seen = np.bincount(slots, minlength=size)
-    keep = seen[slots] >= max(3, n // RARE)
-    used, inverse = np.unique(slots[keep], return_inverse=True)
-    row = row[keep]
+    shape = rows.column("shape").combine_chunks().flatten().to_numpy().reshape(n, SHAPE)
+    seen, total = np.zeros(size, np.int64), 0
+    for chunk in rows.column("slots").chunks:
+        seen += np.bincount(chunk.flatten().to_numpy(), minlength=size)
+        total += len(chunk.flatten())
+    used = np.flatnonzero(seen >= max(3, n // RARE))
+    place = np.full(size, -1, np.int32)
+    place[used] = np.arange(len(used))
+    # by blocks of rows, so that what is computed for each word of each row stays small
+    blocks, at = [], 0
+    for chunk in rows.column("slots").chunks:
+        for lo in range(0, len(chunk), BLOCK):
+            part = chunk[lo : lo + BLOCK]
+            here = place[part.flatten().to_numpy()]
+            of = np.repeat(np.arange(len(part), dtype=np.int32), part.value_lengths().to_numpy())
+            blocks.append((at, at + len(part), of[here >= 0], here[here >= 0]))
+            at += len(part)
+    del rows, chunk, part, here, of
+    pa.default_memory_pool().release_unused()
+
     w, v = np.zeros(len(used)), np.zeros(SHAPE)
     share = np.clip(np.cumsum(np.bincount(y, minlength=grades))[:-1] / n, 1e-3, 1 - 1e-3)
     first, gaps = np.log(share[0] / (1 - share[0])), np.log(np.maximum(np.diff(np.log(share / (1 - share))), 0.05))
@@ -116,7 +134,9 @@ def fit_rows(rows, grades: int, rounds: int = 300, l2: float = 2e-4) -> Model:
     for step in range(1, rounds + 1):
         w, v, first, gaps = params
         cuts = np.concatenate([first, first + np.cumsum(np.exp(gaps))])
-        score = np.bincount(row, w[inverse], minlength=n) + shape @ v
+        score = shape @ v
+        for a, b, of, here in blocks:
+            score[a:b] += np.bincount(of, w[here], minlength=b - a)
         below = np.where(y > 0, sigmoid(cuts[np.maximum(y - 1, 0)] - score), 0.0)
         upto = np.where(y < grades - 1, sigmoid(cuts[np.minimum(y, grades - 2)] - score), 1.0)
         p = np.maximum(upto - below, 1e-12)
@@ -124,7 +144,10 @@ def fit_rows(rows, grades: int, rounds: int = 300, l2: float = 2e-4) -> Model:
         g_score = d_upto - d_below  # of the negative log likelihood
         g_cuts = np.bincount(np.minimum(y, grades - 2), np.where(y < grades - 1, -d_upto, 0), minlength=grades - 1) + np.bincount(np.maximum(y - 1, 0), np.where(y > 0, d_below, 0), minlength=grades - 1)
         g_gaps = np.array([g_cuts[k + 1 :].sum() for k in range(grades - 2)]) * np.exp(gaps)
-        grads = [np.bincount(inverse, g_score[row], minlength=len(used)) + l2 * w, shape.T @ g_score + l2 * v, np.array([g_cuts.sum()]), g_gaps]
+        g_w = l2 * w
+        for a, b, of, here in blocks:
+            g_w += np.bincount(here, g_score[a:b][of], minlength=len(used))
+        grads = [g_w, shape.T @ g_score + l2 * v, np.array([g_cuts.sum()]), g_gaps]
         rate = 0.05 * min(1.0, 3 * (1 - (step - 1) / rounds))
         for i, g in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * g
@@ -150,7 +173,7 @@ def score(docs: DataFrame, model: Model, cut: int, text_col: str = "text") -> Da
         shapes = weights[:SHAPE].tolist()
         for batch in batches:
             scores = []
-            for t in batch.column(text_col):
+            for t in batch.column("row").field(text_col):
                 shape, words = shape_and_words(t.as_py())
                 if len(known) > 200_000:
                     known.clear()
@@ -158,10 +181,11 @@ def score(docs: DataFrame, model: Model, cut: int, text_col: str = "text") -> Da
                     known[word] = float(weights[slot(word)])
                 scores.append(math.fsum(map(known.__getitem__, words)) + math.fsum(a * b for a, b in zip(shape, shapes)))
             tails = model.tails(np.array(scores))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sum(tails)), pa.array(tails[cut - 1])], names=[*kept, "expected_grade", "tail"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sum(tails)), pa.array(tails[cut - 1])], names=["row", "expected_grade", "tail"])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    return docs.select(*(f"`{c}`" for c in kept)).mapInArrow(rows, f"{fields}, expected_grade double, tail double")
+    rows_in = docs.select(F.struct(*(quoted(c) for c in kept)).alias("row"))
+    graded = rows_in.mapInArrow(rows, StructType([rows_in.schema["row"], StructField("expected_grade", DoubleType()), StructField("tail", DoubleType())]))
+    return graded.select(*(F.col("row").getField(c).alias(c) for c in kept), "expected_grade", "tail")
 
 
 #: Grades of the corpus, from the labels: toxic, plain junk, good.
