@@ -2,18 +2,22 @@
 
 A document's set holds its distinct word n-grams as 64-bit hashes, globally ordered by hash. Documents with equal sets
 are one class, which only its smallest id represents. Two sets at a Jaccard similarity of at least ``num / den`` differ
-in few n-grams; the hash range is cut into more parts than that, by the class of the set's size, so at least one part
-that is not empty must be equal in both. Documents that share a part are candidates. A part holds several n-grams picked
-by hash, so a passage that many documents share hardly ever fills one.
-
-Of the documents that share a part, each is first tried against the smallest: where groups of copies are large, that
-joins them with one comparison each. Where a part's documents are then still in different components, each is tried
-against one picked by a hash and against the nearest in another component, round after round while that joins any, and at
-last against all that are left in other components. A trial begins with parity bitmaps, whose distance is never more than the number
-of n-grams in which two sets differ; what passes is joined exactly: one document's candidates are stored in a prefix tree
-in the global order and the document walks it once. Common beginnings share their partial overlap, and a branch is left
-as soon as what remains of both sets can't reach the threshold, or when all below is linked to the walker already. So the
-components are those of all links, though copies are never compared in all pairs. Nothing is dropped or capped.
+in few n-grams; the hash range is cut into parts, by the class of the set's size, so that a set has more parts with
+n-grams in them than can differ: one of these must be equal in both. A set of which too few parts hold n-grams is cut
+again with n-grams hashed anew, up to ``CUTS`` times, and only after the last its empty parts count too, so that sets
+that have nothing in common share no part. Documents that share a part are candidates; of parts that the same documents
+share, one is kept. A part holds several n-grams picked by hash, so a passage that many documents share seldom fills one.
+
+Candidates are tried in rounds. The first takes three parts of each document, the same for documents that share most:
+where groups of copies are large, that joins them with a few comparisons each. Further rounds take all parts whose
+documents are still in different components, in blocks of bounded size: each document outside the largest component of
+its block is tried against the first and the nearest in another component, round after round while that joins any. The
+last round tries all pairs in different components. A trial begins with parity bitmaps, whose distance is never more
+than the number of n-grams in which two sets differ; what passes is joined exactly: one document's candidates are stored
+in a prefix tree in the global order and the document walks it once. Common beginnings share their partial overlap, and
+a branch is left as soon as what remains of both sets can't reach the threshold, or when all below is linked to the
+walker already. So the components are those of all links, though copies are never compared in all pairs. Nothing is
+dropped or capped.
 
 Defined results: null text is empty text; an empty set is linked with nothing, not even with other empty sets; rows that
 repeat an id count as one document each and share its component; a null id has no component; other columns are ignored.
@@ -30,9 +34,11 @@ from pyspark.sql import functions as F
 from .common import drop_written, release, written
 from .components import connected_components
 
-EMPTY_PARTS = 1  # parts that may be empty before empty parts count too
+CUTS = 4  # times a set may be cut into parts before its empty parts count too
 TREE_GRAMS = 1_000_000  # n-grams of the sets that one prefix tree holds, a single longer set apart
-GROUP = 8192  # documents that share a part and are tried against each other in one piece
+GROUP = 8192  # documents that share a part and are tried against each other in one piece; a quarter of it before the last round
+PLACES = 4  # bits of a parity bitmap for each n-gram; a power of two
+SAMPLED = 3  # parts of a document in the first round
 
 
 def gram_set(text: str | None, n: int, words_seen: dict):
@@ -76,36 +82,50 @@ def size_classes(num: int, den: int, most: int) -> list[int]:
 
 
 def part_count(cls: int, starts: list[int], num: int, den: int) -> int:
-    """Parts for class ``cls``, where sets of it meet those of it and the class below: more than can differ."""
+    """Parts for class ``cls``, where sets of it meet those of it and the class below: somewhat more than can differ, as
+    one in e**(n-grams in a part) is empty."""
     most = starts[cls + 1] - 1
     differ = 2 * most * (den - num) // (den + num)
-    return differ + 1 + EMPTY_PARTS
+    return differ + 1 + max(2, differ // 12)
 
 
 def part_keys(grams, num: int, den: int, starts: list[int]):
     """Keys of the parts of one set, for its own class of size and the next."""
     import numpy as np
 
-    size, out = len(grams), []
+    size, out = len(grams), [np.zeros(0, np.uint64)]
+    cls = int(np.searchsorted(starts, size, side="right")) - 1
+    cuts_of: dict[int, tuple] = {}  # n-grams by turn, with their running sums
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams), dtype=np.uint64)])
-        cls = int(np.searchsorted(starts, size, side="right")) - 1
         for c in (cls, cls + 1):
+            largest = min(size * den // num, starts[c + 1] - 1)  # set of class c, or below, that this one may be linked to
+            differ = (size + largest) * (den - num) // (den + num)
+            if largest < starts[c] or not differ:  # no other set of class c can be linked to this one
+                continue
             k = part_count(c, starts, num, den)
             cuts = (np.arange(1, k, dtype=np.float64) * (2.0**64 / k)).astype(np.uint64)
-            at = np.concatenate([[0], np.searchsorted(grams, cuts), [size]])
-            width = np.diff(at)
-            seed = mix((np.arange(k, dtype=np.uint64) << np.uint64(32)) + np.uint64(c) + np.uint64(1))
-            keys = mix((sums[at[1:]] - sums[at[:-1]]) ^ seed ^ mix(width.astype(np.uint64)))
-            out.append(keys[width > 0] if (width == 0).sum() <= EMPTY_PARTS else keys)
+            for turn in range(CUTS):
+                if turn not in cuts_of:
+                    g = np.sort(mix(grams + np.uint64(turn))) if turn else grams
+                    cuts_of[turn] = g, np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(g), dtype=np.uint64)])
+                g, sums = cuts_of[turn]
+                at = np.concatenate([[0], np.searchsorted(g, cuts), [size]])
+                width = np.diff(at)
+                seed = mix((np.arange(k, dtype=np.uint64) << np.uint64(32)) + np.uint64(c + 1) + np.uint64(turn << 24))
+                keys = mix((sums[at[1:]] - sums[at[:-1]]) ^ seed ^ mix(width.astype(np.uint64)))
+                held = width > 0
+                enough = int(held.sum()) > differ
+                out.append(keys if turn == CUTS - 1 and not enough else keys[held])
+                if enough:
+                    break
     return np.concatenate(out)
 
 
 def parity(grams) -> bytes:
-    """A bit for each place an n-gram may hash to, set if an odd number does; as many as n-grams or up to twice as many."""
+    """A bit for each place an n-gram may hash to, set if an odd number does; ``PLACES`` for an n-gram, or up to twice as many."""
     import numpy as np
 
-    m = max(64, 1 << (len(grams) - 1).bit_length())
+    m = max(64, PLACES << (len(grams) - 1).bit_length())
     return np.packbits(np.bincount((grams & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1, bitorder="little").tobytes()
 
 
@@ -289,46 +309,69 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str =
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     keyed = written(sets_of(docs, n, num, den), "jaccard-keys")
     classes = keyed.where("size > 0 and id is not null").groupBy("size", "h").agg(F.min("id").alias("rep"))
-    reps = keyed.where("size > 0").select("id", "keys").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    reps = keyed.where("size(keys) > 0").select("id", "keys").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
 
-    # documents that share a part, with the smallest of them
-    shared = reps.select("id", F.explode("keys").alias("key")).withColumn("a", F.min("id").over(Window.partitionBy("key"))).withColumn("z", F.max("id").over(Window.partitionBy("key")))
-    shared = written(shared.where("a <> z").select("key", "id", "a"), "jaccard-shared")
+    rep_keys = written(reps, "jaccard-rep-keys")
     sets = written(keyed.select("id", "size", "h", "bits"), "jaccard-sets")
     drop_written(keyed)
     release(spark)
-    bits = sets.where("size > 0").select("id", "size", "bits")
 
-    # each against the smallest
-    stars = shared.where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    side = lambda c: bits.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}"))
-    tried = written(stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_filter(num, den), "a long, b long").distinct(), "jaccard-pairs")
-    links = written(_verify(tried, docs, bits, n, num, den, tree_grams), "jaccard-links")
+    # documents that share a part, for one part of those that the same documents share
+    by_key = Window.partitionBy("key")
+    lo, hi, m, who = F.min("id").over(by_key), F.max("id").over(by_key), F.count(F.lit(1)).over(by_key), F.bit_xor(F.xxhash64("id")).over(by_key)
+    shared = written(rep_keys.select("id", F.explode("keys").alias("key")).select("key", "id", lo.alias("lo"), hi.alias("hi"), m.alias("m"), who.alias("who")).where("lo <> hi"), "jaccard-shared")
+    drop_written(rep_keys)
     release(spark)
+    one = shared.where("id = lo").groupBy("lo", "hi", "m", "who").agg(F.min("key").alias("key")).select("key")
+    parts = written(shared.join(one, "key", "left_semi").select("key", "id").distinct(), "jaccard-parts")
+    drop_written(shared)
+    release(spark)
+    bits = sets.where("size > 0").select("id", "size", "bits")
 
-    # across components, where a part's documents are still apart
+    found = tried = None
+    last = grew = False
     for turn in count():
-        found = written(connected_components(links), "jaccard-labels")
-        named = shared.join(found, shared["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+        if turn:
+            some = parts
+        else:
+            picks = [F.min_by("key", F.xxhash64("key", F.lit(k))).alias(f"k{k}") for k in range(SAMPLED)]
+            some = parts.groupBy("id").agg(*picks).select(F.explode(F.array_distinct(F.array(*(f"k{k}" for k in range(SAMPLED))))).alias("key"), "id")
+        named = some.withColumn("label", F.col("id"))
+        if found is not None:
+            named = some.join(found, some["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("label"))
         many = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-        odd = named.join(many.select("key", F.ceil(F.col("m") / group).cast("int").alias("n_blocks")), "key").join(bits, "id")
-        last = turn > 0 and not grew
-        dealt = odd.withColumn("block", F.pmod(F.xxhash64("id"), "n_blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        met = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "label", "size", "bits")
+        odd = named.join(many.select("key", F.ceil(F.col("m") / (group if last else max(2, group // 4))).cast("int").alias("n_blocks")), "key").join(bits, "id")
+        dealt = odd.withColumn("block", F.pmod(F.xxhash64("id", F.lit(turn)), "n_blocks").cast("int"))
+        if last:  # all blocks of a part meet
+            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        else:
+            dealt = dealt.withColumn("other", F.col("block"))
+        met = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "label", "size", "bits", "n_blocks")
         met = met.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", F.xxhash64("id", F.lit(turn)), "id")
         near = written(met.mapInArrow(_across(num, den, every=last), "key long, a long, b long"), "jaccard-near")
-        release(spark)
-        pairs = written(near.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        pairs = near.where("a is not null").select("a", "b").distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         more = written(_verify(pairs, docs, bits, n, num, den, tree_grams), "jaccard-links")
         grew = not more.isEmpty()
-        links = links.unionAll(more)
+        if grew or found is None:
+            links = more if found is None else more.unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            before, found = found, written(connected_components(links), "jaccard-labels")
+            if before is not None:
+                drop_written(before)
+        drop_written(more)
         if last:
+            drop_written(near, pairs, parts)
             break
-        tried = tried.unionAll(pairs)
-        # where no two may link across components now, none may later
-        shared = written(shared.join(near.select("key").distinct(), "key", "left_semi"), "jaccard-shared")
+        tried, before = (pairs, None) if tried is None else (written(tried.unionAll(pairs), "jaccard-tried"), tried)
+        if before is not None:
+            drop_written(before, pairs)
+        if turn:  # where no two may link across components now, none may later
+            parts, before = written(parts.join(near.select("key").distinct(), "key", "left_semi"), "jaccard-parts"), parts
+            drop_written(before)
+        drop_written(near)
         release(spark)
-    found = connected_components(links) if grew else found
+        last = turn > 0 and not grew
+    drop_written(tried)
 
     classes = sets.where("size > 0 and id is not null").groupBy("size", "h").agg(F.min("id").alias("rep"))
     classes = classes.join(found, classes["rep"] == found["node"], "left").select("size", "h", F.coalesce("component", "rep").alias("component"))
@@ -343,90 +386,100 @@ def _pairs(pairs: list):
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
 
 
-def _filter(num: int, den: int):
-    """Of rows (a, b, their sizes and bitmaps), the pairs that may link."""
-
-    def rows(batches: Iterator) -> Iterator:
-        for batch in batches:
-            c = {k: batch.column(k).to_pylist() for k in ("a", "b", "size_a", "bits_a", "size_b", "bits_b")}
-            yield _pairs([(a, b) for a, b, *x in zip(*c.values()) if may_link(*x, num, den)])
-
-    return rows
-
-
 def _across(num: int, den: int, every: bool):
-    """Of rows (key, p, q, block, id, label, size, bits), sorted by the first three, pairs of one key and different labels
-    that may link, within a block if p = q, else between the two: ``every`` such pair, or for each row the nearest
-    and the first."""
-
-    def few(rows: list, across: bool) -> list[tuple[int, int]]:
-        """As below, for a handful of rows."""
-        n = min(len(r[4]) for r in rows)
-        words = [int.from_bytes(fold(r[4], n), "little") for r in rows]
-        out = []
-        for i, (block, id_, label, size, _) in enumerate(rows):
-            first = near = None
-            for j in range(i + 1 if every else 0, len(rows)):
-                b, other, name, s, _ = rows[j]
-                if name == label or other == id_ or across and b == block or min(s, size) * den < max(s, size) * num:
-                    continue
-                apart = (words[i] ^ words[j]).bit_count()
-                if apart * (den + num) > (s + size) * (den - num):
-                    continue
-                if every:
-                    out.append((min(id_, other), max(id_, other)))
-                else:
-                    first = first or (apart, other)
-                    near = min(near or first, (apart, other))
-            out += [(min(id_, o), max(id_, o)) for _, o in {x for x in (first, near) if x}]
-        return out
-
-    def work(rows: list, across: bool) -> list[tuple[int, int]]:
+    """Of rows (key, p, q, block, id, label, size, bits, n_blocks), sorted by the first three, pairs (key, a, b) of different
+    labels that may link, within a block if p = q, else between the two: ``every`` such pair, or for each row outside the
+    largest component the nearest and the first. A part of several blocks is named with no pair, unless ``every``."""
+
+    def chosen(where, apart, other) -> list[int]:
+        """Places among ``where`` to try."""
+        if every or len(where) < 2:
+            return where
+        return where[sorted({0, int(apart.argmin())})]
+
+    def work(rows: list, across: bool) -> Iterator[tuple]:
+        """Rows of one piece; yields (id, ids to try it with)."""
         import numpy as np
 
-        if len(rows) <= 16:
-            return few(rows, across)
         n = min(len(r[4]) for r in rows)
         words = np.frombuffer(b"".join(fold(r[4], n) for r in rows), np.uint64).reshape(len(rows), -1)
         block, ids, labels, sizes = (np.array([r[k] for r in rows]) for k in range(4))
-        out = []
-        for i in range(len(rows)):
-            lo = i + 1 if every else 0
-            other = (labels[lo:] != labels[i]) & (ids[lo:] != ids[i])
+        names, nth, times = np.unique(labels, return_inverse=True, return_counts=True)
+        walkers = np.flatnonzero(nth != times.argmax())
+        pending = np.ones(len(rows), bool)
+        for i in walkers:
+            pending[i] = False
+            other = (labels != labels[i]) & (ids != ids[i])
+            if every:  # rows that have walked have met this one
+                other &= pending
             if across:
-                other &= block[lo:] != block[i]
-            where = lo + np.flatnonzero(other)
-            apart = np.bitwise_count(words[where] ^ words[i]).sum(1)
+                other &= block != block[i]
+            where = np.flatnonzero(other)
             small, large = np.minimum(sizes[where], sizes[i]), np.maximum(sizes[where], sizes[i])
-            fine = (apart * (den + num) <= (small + large) * (den - num)) & (small * den >= large * num)
-            where, apart = where[fine], apart[fine]
-            if not every and len(where):
-                where = where[[0, apart.argmin()]]
-            out += [(min(ids[i], j), max(ids[i], j)) for j in ids[where]]
-        return out
+            where = where[small * den >= large * num]
+            apart = np.bitwise_count(words[where] ^ words[i]).sum(1)
+            fine = apart * (den + num) <= (sizes[where] + sizes[i]) * (den - num)
+            where = chosen(where[fine], apart[fine], ids)
+            if len(where):
+                yield int(ids[i]), ids[where]
+
+    def few(rows: list, across: bool) -> Iterator[tuple]:
+        """As above, for a handful of rows."""
+        labels = [r[2] for r in rows]
+        largest = max(labels, key=labels.count)
+        n = min(len(r[4]) for r in rows)
+        words = [int.from_bytes(fold(r[4], n), "little") for r in rows]
+        walked = set()
+        for i, (block, me, label, size, _) in enumerate(rows):
+            if label == largest:
+                continue
+            walked.add(i)
+            fine = []
+            for j, (b, other, name, s, _) in enumerate(rows):
+                if name == label or other == me or across and b == block or every and j in walked or min(s, size) * den < max(s, size) * num:
+                    continue
+                apart = (words[i] ^ words[j]).bit_count()
+                if apart * (den + num) <= (s + size) * (den - num):
+                    fine.append((apart, other))
+            if fine:
+                yield me, [o for _, o in fine] if every else list({fine[0][1], min(fine)[1]})
 
     def groups(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        def keyed(out: list):
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["key", "a", "b"])
-
-        now, rows, out = None, [], []
+        out: list = [[], [], []]
+
+        def flushed():
+            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["key", "a", "b"])
+            for x in out:
+                x.clear()
+            return batch
+
+        def piece(now: tuple, rows: list, n_blocks: int) -> Iterator:
+            if n_blocks > 1 and not every:
+                out[0].append(now[0]), out[1].append(None), out[2].append(None)
+            if len(rows) > 1 and any(r[2] != rows[0][2] for r in rows):
+                for me, others in (few if len(rows) <= 16 else work)(rows, now[1] != now[2]):
+                    for x in others:
+                        x = int(x)
+                        out[0].append(now[0]), out[1].append(min(me, x)), out[2].append(max(me, x))
+                    if len(out[0]) > 20_000:
+                        yield flushed()
+
+        now, rows, n_blocks = None, [], 0
         for batch in batches:
-            c = [batch.column(k).to_pylist() for k in ("key", "p", "q", "block", "id", "label", "size", "bits")]
-            for key, p, q, *row in zip(*c):
+            c = [batch.column(k).to_pylist() for k in ("key", "p", "q", "n_blocks", "block", "id", "label", "size", "bits")]
+            for key, p, q, blocks, *row in zip(*c):
                 if (key, p, q) != now:
-                    if len(rows) > 1:
-                        out += [(now[0], a, b) for a, b in work(rows, now[1] != now[2])]
-                    now, rows = (key, p, q), []
-                    if len(out) > 5000:
-                        yield keyed(out)
-                        out = []
+                    if rows:
+                        yield from piece(now, rows, n_blocks)
+                    now, rows, n_blocks = (key, p, q), [], blocks
                 rows.append(row)
-        if len(rows) > 1:
-            out += [(now[0], a, b) for a, b in work(rows, now[1] != now[2])]
-        if out:
-            yield keyed(out)
+        if rows:
+            yield from piece(now, rows, n_blocks)
+        if out[0]:
+            yield flushed()
 
     return groups
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from marlstone.llm import jaccard_join as j
@@ -98,3 +99,28 @@ def test_components_of_a_long_path_and_a_star(spark):
 def test_query_against_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in op10_jaccard_join(spark, sf_dir).collect()) == brute(rows, 3, 9, 10)
+
+
+@pytest.mark.parametrize("num,den", [(8, 10), (9, 10)])
+def test_sets_with_nothing_in_common_share_no_part(num, den):
+    r = np.random.default_rng(5)
+    starts, seen, keys, sets = j.size_classes(num, den, j.MOST), set(), 0, 0
+    for size in [*range(1, 60), 100, 400, 1500] * 12:
+        own = set(j.part_keys(np.unique(r.integers(0, 2**64, size, np.uint64)), num, den, starts).tolist())
+        assert not own & seen
+        seen |= own
+        keys, sets = keys + len(own), sets + size
+    assert keys < 0.75 * sets
+
+
+def test_linked_sets_share_a_part():
+    r = np.random.default_rng(6)
+    for num, den in ((8, 10), (9, 10), (5, 10)):
+        starts = j.size_classes(num, den, j.MOST)
+        for _ in range(400):
+            a = np.unique(r.integers(0, 2**64, r.integers(2, 120), np.uint64))
+            keep, more = r.random(len(a)) > r.random() * 0.3, r.integers(0, 2**64, r.integers(0, 1 + len(a) // 3), np.uint64)
+            b = np.unique(np.concatenate([a[keep], more]))
+            both = len(np.intersect1d(a, b))
+            if 0 < both < len(np.union1d(a, b)) and den * both >= num * len(np.union1d(a, b)):
+                assert set(j.part_keys(a, num, den, starts).tolist()) & set(j.part_keys(b, num, den, starts).tolist())
