@@ -38,7 +38,7 @@ def test_stages_equal_brute_force(spark, sf_dir):
     assert set(after) == {i for i, _, c in groups if i == c} and all(after[i] == now[i] for i in after)
 
     single = p.shared_passages(spark, unlike, sf_dir)
-    runs, left = test_line_dedup.brute([(i, r.text) for i, r in after.items()], line_dedup.MIN_WORDS)
+    runs, left = test_line_dedup.brute([(i, r.text) for i, r in after.items()], line_dedup.MIN_WORDS, line_dedup.LINE_WORDS)
     cut = {r[0] for r in runs}
     want = {i: (None if after[i].text is None else left[i]) for i in after if not (i in cut and not left[i].strip(" "))}
     assert single.columns == columns
