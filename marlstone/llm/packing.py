@@ -1,26 +1,30 @@
 """Packing by shortest-pack-first over the length histogram.
 
 Texts become ids and are cut into pieces of at most ``width``. Only the histogram of lengths, ``width`` numbers, reaches
-the driver: lengths are placed longest first, each into the pattern with the least room that still takes it, as many
-copies at a time as both counts allow. The patterns (their number depends on ``width``, not on the corpus) are joined
-back to the pieces by rank within their length. Ranks need no shuffle of whole lengths: a piece is numbered within the
-task that cut it, and tasks' counts are summed up in a small table.
+the driver: lengths are placed longest first, each into the shortest pack, that is the pattern with the most room, as many
+copies at a time as both counts allow; where even that has too little room, a new pack is begun. The patterns (their
+number depends on ``width``, not on the corpus) are joined back to the pieces by rank within their length. Ranks need no
+shuffle of whole lengths: a piece is numbered within the task that cut it, and tasks' counts are summed up in a table of
+a row a task.
 
 Sequences are padded to ``width``, except those whose length is a power of two.
 
 Defined results: null text is empty text, whose only id is the end mark; rows that repeat an id are separate documents;
-a null id stays null; other columns are not carried.
+a null id stays null; other columns of documents are not carried, those of pieces are, whatever their names, but for
+``task``, ``rank``, ``sequence_id`` and ``offset``.
 """
 
 from __future__ import annotations
 
+import heapq
 from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import written
+from .common import quoted, written
 from .word_split import FAST_LOWER_WORDS, Splitter, encode_words, load, tokenizer_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -110,37 +114,45 @@ def cut(docs: DataFrame, path: str | None = None, width: int = WIDTH, end_id: in
 def plan_patterns(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """Patterns as (count, ((length, times), ...)), lengths falling, such that every piece has a place."""
     room: dict[int, dict[tuple, int]] = {}  # room left -> pattern -> count
-    done: list[tuple[int, tuple]] = []
+    rooms: list[int] = []  # a heap of the rooms, largest first, and of some that are gone
 
     def put(pattern: tuple, count: int, left: int) -> None:
-        if left:
-            room.setdefault(left, {})
-            room[left][pattern] = room[left].get(pattern, 0) + count
-        else:
-            done.append((count, pattern))
+        if left not in room:
+            room[left] = {}
+            heapq.heappush(rooms, -left)
+        room[left][pattern] = room[left].get(pattern, 0) + count
+
+    def largest() -> int:
+        while rooms and -rooms[0] not in room:
+            heapq.heappop(rooms)
+        return -rooms[0] if rooms else 0
 
     for length in sorted((x for x, c in histogram.items() if c), reverse=True):
         left = histogram[length]
         while left:
-            fit = min((r for r in room if r >= length), default=None)
-            if fit is None:  # new sequences, as full of this length as they get
-                most = width // length
-                if left >= most:
-                    put(((length, most),), left // most, width - most * length)
-                if left % most:
-                    put(((length, left % most),), 1, width - left % most * length)
+            most = largest()
+            if most < length:  # new packs: the first is the shortest until it is full, then the next
+                times = width // length
+                if left >= times:
+                    put(((length, times),), left // times, width - times * length)
+                if left % times:
+                    put(((length, left % times),), 1, width - left % times * length)
                 break
-            pattern, count = room[fit].popitem()
-            if not room[fit]:
-                del room[fit]
-            times = fit // length if left >= count * (fit // length) else 1
-            used = min(count, left // times)
+            pattern, count = room[most].popitem()
+            if not room[most]:
+                del room[most]
+            # a piece for each of these packs, and again as long as no other has more room
+            times = min(most // length, max(1, -((largest() - most) // length)), max(1, left // count))
+            used = min(count, left)
             if used < count:
-                put(pattern, count - used, fit)
-            put((*pattern, (length, times)), used, fit - times * length)
+                put(pattern, count - used, most)
+            if pattern[-1][0] == length:
+                longer = (*pattern[:-1], (length, pattern[-1][1] + times))
+            else:
+                longer = (*pattern, (length, times))
+            put(longer, used, most - times * length)
             left -= used * times
-    done += [(c, p) for patterns in room.values() for p, c in patterns.items()]
-    return sorted(done, key=lambda x: x[1], reverse=True)
+    return sorted(((c, p) for patterns in room.values() for p, c in patterns.items()), key=lambda x: x[1], reverse=True)
 
 
 def place(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -162,13 +174,15 @@ def place(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
             offset += length * times
         first += count
 
+    kept = [c for c in pieces.columns if c not in ("task", "rank", "sequence_id", "offset")]
+
     def seats(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         tables = {length: np.array(rows, np.int64) for length, rows in slots.items()}
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "nth"))
+            rank, length = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("nth", "length"))
             sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             for x in np.unique(length):
                 here = length == x
@@ -177,12 +191,14 @@ def place(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
                 nth = rank[here] - row[:, 0]
                 sequence[here] = row[:, 1] + nth // row[:, 2]
                 offset[here] = row[:, 3] + nth % row[:, 2] * x
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
-
-    kept = [c for c in pieces.columns if c not in ("task", "rank")]
-    ranked = pieces.join(counts.select("task", "length", "base"), ["task", "length"]).select(*kept, (F.col("base") + F.col("rank")).alias("nth"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name in kept)
-    return ranked.mapInArrow(seats, f"{schema}, sequence_id long, offset long")
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sequence), pa.array(offset)], names=["row", "sequence_id", "offset"])
+
+    # a row a task: the number of pieces of each length that tasks before it cut
+    bases = counts.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("bases"))
+    rows = pieces.select("task", "length", "rank", F.struct(*(quoted(c) for c in kept)).alias("row"))
+    ranked = rows.join(bases, "task").select((F.col("bases")[F.col("length")] + F.col("rank")).alias("nth"), "length", "row")
+    seated = ranked.mapInArrow(seats, StructType([ranked.schema["row"], StructField("sequence_id", LongType()), StructField("offset", LongType())]))
+    return seated.select(*(F.col("row").getField(c).alias(c) for c in kept), "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH) -> DataFrame:

@@ -30,6 +30,37 @@ def test_patterns_place_every_piece():
     assert packing.plan_patterns({}) == []
 
 
+def literal(lengths, width):
+    """Room left in each pack, one piece placed after another: longest first, each into the pack with the most room."""
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        best = max(rooms, default=0)
+        if best >= x:
+            rooms[rooms.index(best)] -= x
+        else:
+            rooms.append(width - x)
+    return sorted(rooms)
+
+
+def test_shortest_pack_first():
+    named = lambda lengths, width: sorted(p for c, p in packing.plan_patterns(Counter(lengths), width) for _ in range(c))
+    assert named([6, 5, 3, 1], 10) == [((5, 1), (3, 1)), ((6, 1), (1, 1))]
+    assert named([4, 4, 4, 2, 2, 2], 10) == [((4, 1), (2, 3)), ((4, 2),)]
+    r = random.Random(9)
+    for _ in range(300):
+        width = r.choice([5, 10, 16, 37])
+        lengths = [min(width, int(r.expovariate(r.choice([2, 4, 9]) / width)) + 1) for _ in range(r.randrange(1, 120))]
+        rooms = [width - sum(a * b for a, b in p) for p in named(lengths, width)]
+        assert sorted(rooms) == literal(lengths, width)
+
+
+def test_columns_of_pieces_are_carried(spark):
+    df = spark.createDataFrame([(i, "a b c " * i) for i in range(20)], "doc_id long, text string").repartition(3)
+    pieces = packing.cut(df).select("*", packing.F.lit(7).alias("base"), packing.F.lit("n").alias("nth"), packing.F.col("start").alias("bases"), packing.F.lit(-5).alias("offset"), packing.F.lit(1).alias("odd `name"))
+    got = packing.place(pieces).collect()
+    assert all((r.base, r.nth, r.bases, r["odd `name"]) == (7, "n", r.start, 1) and r.offset >= 0 for r in got) and len(got) == 20
+
+
 def check(rows, docs, width):
     t = word_split.load(PATH)
     ids = {i: np.array(t.encode(x or "", add_special_tokens=False).ids + [packing.END_ID], "<u4") for i, x in docs.items()}
