@@ -149,3 +149,66 @@ def check_values(shown: DataFrame, own: DataFrame, keys: list[str], percents: li
     if wrong:
         return MISMATCH
     return CUT if cap and shown.count() >= cap else CHECKED
+
+
+#: Aggregates that a chart's form may name, and how they are spelt here (fixed values).
+FORM_AGGREGATES = {"SUM": "sum({})", "AVG": "avg({})", "MIN": "min({})", "MAX": "max({})", "COUNT": "count({})", "COUNT_DISTINCT": "count(distinct {})"}
+FORM_GRAINS = {"P1D": "day", "P1W": "week", "P1M": "month", "P3M": "quarter", "P1Y": "year"}
+FORM_OPERATORS = {"==": "=", "!=": "<>", ">": ">", "<": "<", ">=": ">=", "<=": "<=", "IN": "in", "NOT IN": "not in"}
+
+
+def _quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def _literal(v) -> str:
+    return repr(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def read_form(form: dict, source: str, time: str | None = None) -> Chart:
+    """The chart that a form describes: dimensions, metrics, filters, grain and ranked limit. What the form computes after its
+    query, or states in a way that isn't known here, makes it ``NotCheckable`` with the reason."""
+    for key in ("rolling_type", "time_compare", "resample_rule", "forecastEnabled", "post_processing"):
+        if form.get(key) and form[key] != "None":
+            raise NotCheckable(f"computed after the query: {key}")
+    metrics = []
+    dimensions = [*form.get("groupby", []), *(c for c in form.get("columns", []) if c not in form.get("groupby", []))]
+    for m in form.get("metrics") or ([form["metric"]] if form.get("metric") else []):
+        if m == "count":
+            metrics.append(Metric("count", "count(1)", source, frozenset(dimensions), time))
+        elif isinstance(m, dict) and m.get("expressionType") == "SIMPLE" and m.get("aggregate") in FORM_AGGREGATES:
+            metrics.append(Metric(m.get("label") or f"{m['aggregate']}({m['column']})", FORM_AGGREGATES[m["aggregate"]].format(_quoted(m["column"])), source, frozenset(dimensions), time))
+        elif isinstance(m, dict) and m.get("expressionType") == "SQL":
+            metrics.append(Metric(m["label"], m["sqlExpression"], source, frozenset(dimensions), time))
+        else:
+            raise NotCheckable(f"metric {m!r}")
+    if not metrics:
+        raise NotCheckable("no metric")
+    wheres, havings = [], []
+    for f in form.get("adhoc_filters", []):
+        if f.get("expressionType") == "SQL":
+            text = f["sqlExpression"]
+        elif f.get("operator") in FORM_OPERATORS:
+            v = f["comparator"]
+            value = f"({', '.join(map(_literal, v))})" if isinstance(v, list) else _literal(v)
+            text = f"{_quoted(f['subject'])} {FORM_OPERATORS[f['operator']]} {value}"
+        else:
+            raise NotCheckable(f"filter {f.get('operator')!r}")
+        (havings if f.get("clause") == "HAVING" else wheres).append(f"({text})")
+    grain = form.get("time_grain_sqla")
+    if grain and grain not in FORM_GRAINS:
+        raise NotCheckable(f"grain {grain!r}")
+    limit = form.get("row_limit")
+    return Chart(
+        form.get("viz_type", "table"), dimensions, metrics, FORM_GRAINS.get(grain) if grain else None, " and ".join(wheres) or None, " and ".join(havings) or None,
+        (metrics[0].name, int(limit)) if limit and form.get("order_desc", True) else None,
+    )
+
+
+def literal_probes(df: DataFrame, compared: list[tuple[str, object]]) -> DataFrame:
+    """Rows (column, value, held): whether any row that may be read holds a value that a filter compares with; None asks for
+    missing values. One pass over the table."""
+    asked = [(f"p{i}", c, v) for i, (c, v) in enumerate(compared)]
+    same = lambda c, v: F.col(_quoted(c)).isNull() if v is None else F.col(_quoted(c)) == F.lit(v)
+    got = df.agg(*(F.coalesce(F.bool_or(same(c, v)), F.lit(False)).alias(p) for p, c, v in asked)).first()
+    return df.sparkSession.createDataFrame([(c, None if v is None else str(v), got[p]) for p, c, v in asked], "column string, value string, held boolean")

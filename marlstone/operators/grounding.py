@@ -67,3 +67,28 @@ def suggestions(scores: DataFrame) -> DataFrame:
     near = scores.join(bound.select("column"), "column", "left_anti").where((F.col("matched") >= LEAST_MATCHED) & (F.col("containment") >= NEAR_CONTAINMENT) & (F.col("affinity") >= NEAR_AFFINITY))
     strict = (F.col("containment") >= CONTAINMENT) & (F.col("affinity") >= AFFINITY)
     return near.select("column", "scheme_id", F.when(strict, "ambiguous").when(F.col("containment") < CONTAINMENT, "containment").otherwise("affinity").alias("why"))
+
+
+#: Properties of a vocabulary's concepts, by the last part of their names (fixed values).
+NOTATION, LABEL, ALSO, SCHEME = "notation", "prefLabel", "altLabel", "inScheme"
+
+
+def read_triples(spark, path: str) -> DataFrame:
+    """Rows (subject, predicate, object) of a file of N-Triples: the predicate's last part, literals without quotes and tags."""
+    m = r'^\s*<([^>]*)>\s+<[^>]*[/#]([^>/#]+)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@[\w-]+|\^\^<[^>]*>)?)\s*\.\s*$'
+    part = lambda i: F.regexp_extract("value", m, i)
+    rows = spark.read.text(path).where(F.col("value").rlike(m))
+    return rows.select(part(1).alias("subject"), part(2).alias("predicate"), F.when(part(3) != "", part(3)).otherwise(F.regexp_replace(part(4), r"\\(.)", "$1")).alias("object"))
+
+
+def digest(triples: DataFrame) -> DataFrame:
+    """Rows (scheme_id, scheme_label, notation, label, also) of the concepts that lie in a scheme and have a notation: ``also``, the
+    other labels in order. A scheme without a label is named by its id's last part."""
+    of = lambda p: F.col("predicate") == p
+    concepts = triples.groupBy("subject").agg(
+        F.max(F.when(of(SCHEME), F.col("object"))).alias("scheme_id"), F.min(F.when(of(NOTATION), F.col("object"))).alias("notation"),
+        F.min(F.when(of(LABEL), F.col("object"))).alias("label"), F.array_sort(F.collect_set(F.when(of(ALSO), F.col("object")))).alias("also"),
+    )
+    named = concepts.select(F.col("subject").alias("scheme_id"), F.col("label").alias("scheme_label"))
+    held = concepts.where("scheme_id is not null and notation is not null").join(named, "scheme_id", "left")
+    return held.select("scheme_id", F.coalesce("scheme_label", F.regexp_extract("scheme_id", "([^/#]+)$", 1)).alias("scheme_label"), "notation", "label", "also")

@@ -84,3 +84,39 @@ def fit(items: DataFrame, budget: int) -> DataFrame:
     """Items (tier, ordinal, tokens, item) in order, as many as the budget holds; the first that doesn't fit ends it."""
     w = Window.orderBy("tier", "ordinal").rowsBetween(Window.unboundedPreceding, 0)
     return items.withColumn("used", F.sum("tokens").over(w)).where(F.col("used") <= budget)
+
+
+def examples_like(examples: DataFrame, query: list[float], granted: list[str], open_columns: list[str], k: int) -> DataFrame:
+    """The ``k`` examples (question, sql, tables, columns as table.column, embedding) nearest to a question, of those all of
+    whose tables are granted and all of whose columns may be read as they are. Nothing else is scored."""
+    fine = examples_visible(examples, granted)
+    readable = F.forall("columns", lambda c: c.isin(*open_columns)) if open_columns else F.size("columns") == 0
+    return nearest(fine.where(readable), query, "question", "embedding", k)
+
+
+def definitions_like(definitions: DataFrame, query: list[float], floor: float, k: int) -> DataFrame:
+    """Rows (term, text, score) of the ``k`` definitions (term, text, embedding) nearest to a question, none below ``floor``;
+    ties by term and text."""
+    q = F.array(*(F.lit(float(x)) for x in query))
+    scored = definitions.select("term", "text", cosine("embedding", q).alias("score")).where(F.col("score") >= floor)
+    return scored.orderBy(F.desc("score"), "term", "text").limit(k)
+
+
+def selectable(metrics: DataFrame, context: list[str], granted: list[str], closed_columns: list[str]) -> DataFrame:
+    """The metrics or dimensions (name, source, columns as table.column) that may be offered: their table is in context and
+    granted, and no column that they read is closed."""
+    tables = sorted(set(context) & set(granted))
+    if not tables:
+        return metrics.limit(0)
+    shut = F.exists("columns", lambda c: c.isin(*closed_columns)) if closed_columns else F.lit(False)
+    return metrics.where(F.col("source").isin(*tables) & ~shut)
+
+
+def starters(metrics: DataFrame, dimensions: DataFrame, k: int) -> DataFrame:
+    """Questions to begin with, composed of metrics (name, source) and dimensions (name, source) of one table: the first ``k`` in
+    the order of metric and dimension."""
+    from ..functions.text import normalized
+
+    both = metrics.select(F.col("name").alias("metric"), "source").join(dimensions.select(F.col("name").alias("dimension"), "source"), "source")
+    asked = F.concat(F.lit("What is "), normalized("metric"), F.lit(" by "), normalized("dimension"), F.lit("?"))
+    return both.select("source", "metric", "dimension", asked.alias("question")).orderBy("metric", "dimension", "source").limit(k)

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 class Node:
     """A plan node or expression: the class's short name, its plain fields, its children, and the expressions it holds.
 
-    ``plans``: plans inside expressions (subqueries), which a walk over children alone would miss.
+    ``plans``: plans inside expressions (subqueries), which a walk over children alone would miss. ``ctes``: as parsed, the
+    bodies of a WITH by lower-case name.
     """
 
     kind: str
@@ -22,11 +23,12 @@ class Node:
     exprs: list[Node] = field(default_factory=list)
     named: dict[str, list[Node]] = field(default_factory=dict)
     plans: list[Node] = field(default_factory=list)
+    ctes: dict[str, Node] = field(default_factory=dict)
 
     def walk(self) -> Iterator[Node]:
         """This node, what is below it, and all of its expressions and their plans."""
         yield self
-        for group in (self.children, self.exprs, self.plans):
+        for group in (self.children, self.exprs, self.plans, self.ctes.values()):
             for n in group:
                 yield from n.walk()
 
@@ -37,7 +39,7 @@ class Node:
             for x in e.walk():
                 for p in x.plans:
                     yield from p.plan_nodes()
-        for c in self.children:
+        for c in (*self.children, *self.ctes.values()):
             yield from c.plan_nodes()
 
     @property
@@ -55,6 +57,8 @@ def _node(flat: list[dict], at: int) -> tuple[Node, int]:
         if key == "plan" and isinstance(value, list):
             node.plans.append(_tree(value))
             continue
+        if key == "cteRelations" and isinstance(value, list):
+            node.ctes = {str(x["_1"]).lower(): _tree(x["_2"]) for x in value if isinstance(x, dict) and isinstance(x.get("_2"), list)}
         found = list(_expressions(value))
         if found:
             node.exprs += found

@@ -16,6 +16,7 @@ class Registry:
     def __init__(self):
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.oracle: dict[str, str] = {}
+        self.text: dict[str, str] = {}
 
     def sql(self, name: str, text: str, duck: str | None = None) -> None:
         """One statement for both engines, tables in braces; ``duck`` where DuckDB spells it differently."""
@@ -25,6 +26,7 @@ class Registry:
             return spark.sql(text, **{t: read(spark, sf_dir, t) for t in tables})
 
         self.queries[name] = run
+        self.text[name] = re.sub(r"\{(\w+)\}", r"\1", text)
         self.oracle[name] = re.sub(r"\{(\w+)\}", r"\1", duck or text)
 
     def df(self, oracle: str | None):

@@ -214,9 +214,9 @@ def infer_keys_by_name(spark, sf_dir):
     return spark.createDataFrame(keys.infer({"parent": parent, "child": child}), "child string, column string, parent string, parent_column string")
 
 
-@R.df("select * from (values ('hero', 'colour', 1, 'eye_id=id'), ('hero', 'colour', 2, 'hair_id=id'), ('line', 'order', 3, 'a=x,b=y')) t(child, parent, constraint_id, join_keys)")
+@R.df("select * from (values ('parcel', 'depot', 1, 'sent_from=code'), ('parcel', 'depot', 2, 'sent_to=code'), ('stop', 'tour', 3, 'day=day,van=van')) t(child, parent, constraint_id, join_keys)")
 def declared_relationships(spark, sf_dir):
-    rows = [("hero", "eye_id", "colour", "id", 1, 0), ("hero", "hair_id", "colour", "id", 2, 0), ("line", "b", "order", "y", 3, 1), ("line", "a", "order", "x", 3, 0)]
+    rows = [("parcel", "sent_from", "depot", "code", 1, 0), ("parcel", "sent_to", "depot", "code", 2, 0), ("stop", "van", "tour", "van", 3, 1), ("stop", "day", "tour", "day", 3, 0)]
     return keys.declared(spark.createDataFrame(rows, "child string, column string, parent string, parent_column string, constraint_id int, position int"))
 
 

@@ -29,15 +29,49 @@ def cluster_agreement(spark, sf_dir):
     return spark.createDataFrame([(i, g) for g, members in enumerate(groups) for i in members], "result int, grp int")
 
 
-@R.df("select * from (values ('agree', true), ('strict', false), ('facts', true), ('null_is_not_zero', false)) t(reading, same)")
+GRADED = """with g as (select o_orderstatus, o_orderpriority, avg(o_totalprice) as x from orders group by 1, 2), r as (select *, round(x, 2) as rounded, x * 1.004 as shifted, x * 1.5 as wrong from g),
+t as (select 'rounded' as result, x, rounded as y from r union all select 'shifted', x, shifted from r union all select 'wrong', x, wrong from r)
+select result, bool_and(abs(x - y) <= 0.01 * greatest(abs(x), abs(y))) as agree, bool_and(abs(x - y) <= greatest(5e-7, 1e-5 * abs(x))) as strict, bool_and(abs(x - y) <= greatest(5e-7, 1e-5 * abs(x)) or round(x, 2) = y) as facts from t group by 1"""
+
+
+@R.df(GRADED)
 def graded_readings(spark, sf_dir):
-    gold = spark.createDataFrame([("a", 66.623), ("b", 2.0)], "k string, v double")
-    got = spark.createDataFrame([("b", 2.0), ("a", 66.62)], "k string, v double")
-    null = spark.createDataFrame([("b", None), ("a", 66.623)], "k string, v double")
-    zero = spark.createDataFrame([("b", 0.0), ("a", 66.623)], "k string, v double")
-    facts = results.facts_equal([tuple(r) for r in gold.collect()], [(r.v, "extra", r.k) for r in got.collect()])
-    rows = [("agree", results.equal(gold, got)), ("strict", results.equal(gold, got, results.strict)), ("facts", facts), ("null_is_not_zero", results.equal(null, zero))]
-    return spark.createDataFrame(rows, "reading string, same boolean")
+    """Three results of one question over a whole table, read in three ways; columns out of order, and one too many for facts."""
+    gold = read(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.avg("o_totalprice").alias("x"))
+    tried = {"rounded": F.round("x", 2), "shifted": F.col("x") * 1.004, "wrong": F.col("x") * 1.5}
+    out = []
+    for name, value in tried.items():
+        got = gold.select(value.alias("y"), "o_orderpriority", "o_orderstatus")
+        more = got.withColumn("extra", F.lit("n"))
+        facts = results.facts_equal([tuple(r) for r in gold.collect()], [tuple(r) for r in more.collect()])  # as many rows as groups
+        out.append((name, results.equal(gold, got), results.equal(gold, got, results.strict), facts))
+    return spark.createDataFrame(out, "result string, agree boolean, strict boolean, facts boolean")
+
+
+@R.df("""with c as (select 'g' || o_orderstatus as name, count(*) filter (where o_totalprice > 100000) % 13 as a, count(*) filter (where o_totalprice <= 100000) % 13 as b from orders group by o_orderstatus),
+f as (select i, case when i = 0 then 1.0 else list_product(range(1, i + 1)) end as v from range(0, 30) t(i)),
+k as (select name, a, b, sum(x.v / (y.v * z.v)) / pow(2, a + b) as p_better from c join f x on x.i = a + b join f y on y.i >= a and y.i <= a + b join f z on z.i = a + b - y.i group by name, a, b),
+m as (select name, a, b, sum(x.v / (y.v * z.v)) / pow(2, a + b) as tail from c join f x on x.i = a + b join f y on y.i >= greatest(a, b) and y.i <= a + b join f z on z.i = a + b - y.i group by name, a, b)
+select name, k.a as only_a, k.b as only_b, round(p_better, 9) as p_better, round(least(1, 2 * tail), 9) as p from k join m using (name)""")
+def paired_tests(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    high = F.col("o_totalprice") > 100000
+    pairs = o.groupBy(F.concat(F.lit("g"), "o_orderstatus").alias("name")).agg((F.count_if(high) % 13).alias("only_a"), (F.count_if(~high) % 13).alias("only_b"))
+    return stats.paired_test(pairs).select("name", "only_a", "only_b", F.round("p_better", 9).alias("p_better"), F.round("p", 9).alias("p"))
+
+
+@R.df("""with t as (select o_orderpriority as name, count(*) filter (where o_orderstatus = 'P') / count(*) as p from orders group by 1), r as (select *, row_number() over (order by p, name) as rank, count(*) over () as m from t)
+select name, round(p, 9) as p, rank, round(least(1, max(p * (m - rank + 1)) over (order by p, name rows unbounded preceding)), 9) as adjusted, least(1, max(p * (m - rank + 1)) over (order by p, name rows unbounded preceding)) < 0.1 as passes from r""")
+def step_down_correction(spark, sf_dir):
+    tests = read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg((F.count_if(F.col("o_orderstatus") == "P") / F.count(F.lit(1))).alias("p"))
+    return stats.step_down(tests, 0.1).select("name", F.round("p", 9).alias("p"), F.col("rank").cast("long").alias("rank"), F.round("adjusted", 9).alias("adjusted"), "passes")
+
+
+@R.df("""select 'status' as "column", true as found union all select 'total', true union all select 'other', count(distinct o_orderstatus) = 0 from orders""")
+def columns_found_in_result(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
+    gold = o.select(F.col("o_orderstatus").alias("status"), "total", (F.col("total") * 2).alias("other"))
+    return results.columns_found(gold, o.select((F.col("total") + F.lit(0.004)).alias("t"), F.lit(1).alias("one"), "o_orderstatus"))
 
 
 @R.df("select * from (values ('ok', 'fine'), ('empty', 'no_rows'), ('null', 'all_null')) t(answer, ruling)")

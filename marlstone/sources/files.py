@@ -24,9 +24,11 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """With a header, all text; columns with an empty or repeated name are left out."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    import csv
+
+    raw = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path)
     first = spark.read.text(path).limit(1).collect()
-    names = [c.strip().strip('"') for c in first[0][0].split(",")] if first else []
+    names = [c.strip() for c in next(csv.reader([first[0][0].lstrip("\ufeff")]))] if first else []
     keep = [i for i, n in enumerate(names) if n and n not in names[:i]]
     return raw.toDF(*(f"c{i}" for i in range(len(raw.columns)))).select(*(F.col(f"c{i}").alias(names[i]) for i in keep))
 

@@ -1,5 +1,7 @@
+import itertools
 import math
 import random
+from fractions import Fraction
 import sqlite3
 import time
 from collections import Counter
@@ -112,7 +114,7 @@ def test_results_as_multisets_against_brute_force(spark):
     for _ in range(6):
         a = [(r.randrange(3), r.choice([None, "x", " x", "y"]), r.choice([1.0, 1.001, 2.5])) for _ in range(6)]
         b = [(k, (s or "").strip() or None, v * (1 + r.choice([0, 1e-4, 0.1]))) for k, s, v in r.sample(a, len(a))]
-        want = results._match([tuple(map(results.normal, x)) for x in a], [tuple(map(results.normal, x)) for x in b], results.agrees)
+        want = results.pairable([tuple(map(results.normal, x)) for x in a], [tuple(map(results.normal, x)) for x in b], results.agrees, results.Budget(10**6))
         kind = "k int, s string, v double"
         assert results.equal(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)) is want or not want
     one = spark.createDataFrame([(1, 2)], "a int, b int")
@@ -122,16 +124,67 @@ def test_results_as_multisets_against_brute_force(spark):
 
 
 def test_rounding_and_facts():
-    assert results.rounds_to(38.13, 38.125) and results.rounds_to(38.12, 38.125) and not results.rounds_to(0.0, 0.196) and results.rounds_to(53.0, 52.63)
+    for a, b, want in ((7.35, 7.3467, True), (7.34, 7.345, True), (7.35, 7.345, True), (7.36, 7.345, False), (0.0, 0.3, False), (91.0, 90.71, True), (1.0, 0.71, False), (-2.0, -2.5, True), (-3.0, -2.5, True), (2.3, 2.25, True), (2.2, 2.25, True)):
+        assert results.rounded_from(a, b) is want, (a, b)
     assert results.facts_equal([("a", 1.0)], [(7, 1.0, "a")]) and not results.facts_equal([("a", 1.0)], [("a", 2.0)]) and not results.facts_equal([("a",)], [])
+    assert results.facts_equal([("a",), ("a",), ("b",)], [("b",), ("a",)], distinct=True) and not results.facts_equal([("a",), ("a",), ("b",)], [("b",), ("a",)])
     assert results.majority([[0, 2, 3], [1]]) == 0 and results.majority([[0], [1]]) is None
-
-
-def test_statistics():
-    assert stats.mcnemar(0, 0) == 1.0 and math.isclose(stats.mcnemar(5, 0), 0.0625) and math.isclose(stats.mcnemar(5, 0, sides=1), 0.03125)
-    assert stats.holm({"a": 0.01, "b": 0.02, "c": 0.9}, 0.05) == {"a", "b"} and stats.least_gain(20, 3, 0.05) == 7 and stats.least_gain(3, 3, 0.05) is None
+    assert results.best_of([[(1,)], [(2,)]], [(2,)], results.facts_equal) is True and results.best_of([[(1,)]], [(2,)], results.facts_equal) is False
+
+
+def test_a_row_that_two_may_take_goes_to_the_one_that_needs_it():
+    """Agreement within a tolerance: the first gold row may take either, the second only the first's."""
+    got = [(0.3,), (0.250001,)]
+    for gold in ([(0.25,), (0.34,)], [(0.34,), (0.25,)]):
+        assert results.facts_equal(gold, got) and results.facts_equal(got, gold)
+    r = random.Random(2)
+    for _ in range(200):
+        left, right = ([(r.randrange(8) / 2.0,) for _ in range(5)] for _ in range(2))
+        near = lambda a, b: abs(a - b) <= 0.5
+        want = any(all(near(a[0], b[0]) for a, b in zip(left, p)) for p in itertools.permutations(right))
+        assert results.pairable(left, right, near, results.Budget(10**6)) is want
+    with pytest.raises(results.Undecided):
+        results.facts_equal([(float(i), 1.5) for i in range(50)], [(float(i), 1.5) for i in range(50)], steps=100)
+
+
+def test_many_copies_of_one_row_stay_counts(spark):
+    """A count of 10 ** 9 is compared as a count."""
+    from unittest import mock
+
+    one = spark.createDataFrame([(1.0, 10**9, 0)], "v double, left_n long, right_n long")
+    counted = one.select(F.struct(F.col("v").alias("number"), F.lit(None).cast("string").alias("text")).alias("c0"), "left_n", "right_n")
+    with mock.patch.object(results, "diff", lambda a, b: counted):
+        assert not results.equal(one, one)
+        other = counted.unionByName(counted.select(F.struct((F.col("c0.number") * 1.001).alias("number"), F.col("c0.text").alias("text")).alias("c0"), F.col("right_n").alias("left_n"), F.col("left_n").alias("right_n")))
+        with mock.patch.object(results, "diff", lambda a, b: other), pytest.raises(results.Undecided):
+            results.equal(one, one)
+
+
+def test_statistics(spark):
+    assert stats.sign_tail(0, 0) == 1 and stats.sign_tail(5, 0) == Fraction(1, 32) and stats.sign_tail(0, 5) == 1
+    for a, b in itertools.product(range(9), repeat=2):
+        assert stats.sign_tail(a, b) == Fraction(sum(math.comb(a + b, k) for k in range(a, a + b + 1)), 2 ** (a + b))
+    pairs = spark.createDataFrame([("x", 6, 0), ("y", 3, 3), ("z", 0, 0)], "name string, only_a long, only_b long")
+    assert [(r.name, r.p) for r in stats.paired_test(pairs).orderBy("name").collect()] == [("x", 0.03125), ("y", 1.0), ("z", 1.0)]
+    tests = spark.createDataFrame([("a", 0.011), ("b", 0.02), ("c", 0.9)], "name string, p double")
+    assert [(r.name, round(r.adjusted, 9), r.passes) for r in stats.step_down(tests, 0.05).orderBy("rank").collect()] == [("a", 0.033, True), ("b", 0.04, True), ("c", 0.9, False)]
+    for arms, alpha in itertools.product((1, 2, 3, 7), (0.05, 0.01, 0.25, 1.0)):
+        want = next((k for k in range(1, 30) if Fraction(2, 2**k) < Fraction(alpha) / arms), None)
+        assert stats.wins_needed(30, arms, alpha) == want and stats.wins_needed(want - 1, arms, alpha) is None
     with pytest.raises(ValueError):
-        stats.mcnemar(-1, 0)
+        stats.paired_test(spark.createDataFrame([("x", -1, 0)], "name string, only_a long, only_b long"))
+
+
+def test_selection_by_passes(spark, monkeypatch):
+    monkeypatch.setattr(stats, "FEW", 40)
+    r = random.Random(4)
+    values = [r.choice([0.0, 1.5, r.gauss(0, 1), r.gauss(0, 1) * 1e9]) for _ in range(3000)] + [None, 7.0] * 300
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    kept = sorted(v for v in values if v is not None)
+    for place in (0, 1, 700, 1499, 2600, len(kept) - 1):
+        assert stats.value_at(df, place) == kept[place]
+    assert stats.value_at(df, len(kept)) is None and stats.percentile_at(df.limit(0), 0.5) is None
+    assert stats.percentile_at(df, 0.95) == kept[int(0.95 * len(kept))]
 
 
 def test_service_levels_of_nothing(spark):
