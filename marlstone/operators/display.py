@@ -21,7 +21,8 @@ def shown(value: Column | str, fmt: str) -> Column:
     c = (F.col(value) if isinstance(value, str) else value).cast("double")
     n = 0 if kind == "d" else int(places or 0 if kind == "%" or places else 6)
     scaled = F.round((c * 100 if kind == "%" else c).cast("decimal(38,12)"), n)
-    body = F.format_string(f"%{',' if comma else ''}.{n}f", F.abs(scaled))
+    body = F.format_number(F.abs(scaled), n)
+    body = body if comma else F.replace(body, F.lit(","), F.lit(""))
     negative = scaled < 0
     return F.when(c.isNotNull(), F.concat(F.when(negative, "-").otherwise(""), F.lit(sign), body, F.lit("%" if kind == "%" else "")))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "discovery", "governed", "ranking", "results", "metrics", "meaning", "streams", "accepted")
+MODULES = ("relational", "discovery", "governed", "ranking", "results", "metrics", "meaning", "streams", "accepted", "rulings", "sourcing", "answers")
 
 
 def catalogue():

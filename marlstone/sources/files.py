@@ -65,6 +65,17 @@ def export(tables: dict[str, DataFrame], path: str, max_records: int = 5_000_000
         df.write.mode("overwrite").option("maxRecordsPerFile", max_records).parquet(f"{path}/{name}")
 
 
+def write_one_csv(df: DataFrame, folder: str, name: str) -> None:
+    """A bounded result as one CSV file of a given name, written by Spark to a folder beside it and renamed."""
+    spark, whole = df.sparkSession, f"{folder}/.{uuid.uuid4().hex}"
+    df.coalesce(1).write.option("header", True).option("escape", '"').csv(whole)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in fs.listStatus(path(whole)) if s.getPath().getName().startswith("part-"))
+    fs.rename(part, path(f"{folder}/{name}"))
+    fs.delete(path(whole), True)
+
+
 def append(df: DataFrame, path: str) -> None:
     """The only write that the library offers."""
     df.write.mode("append").parquet(path)
