@@ -7,7 +7,8 @@ hashed. A fingerprint selects a declarative mapping, an ordinary column expressi
 
 Defined results: a null text or role is the empty string; a null record, or one whose fingerprint has no mapping, has
 ``layout`` null and no turns (`canonical_turns` keeps the row). Rows of one conversation are taken by turn, nulls first;
-rows with equal turns by role, then text; repeated rows stay. Other columns, whatever their names, are ignored.
+rows with equal turns by role, then text; repeated rows stay. Other columns, whatever their names, are kept by
+`canonical_turns`, but for ``layout`` and ``turns``, which are replaced, and ignored by the rest.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 START, END = "### ", "</turn>\n"
 #: Control strings and their escapes, undone in the opposite order. "\\" first: no escape holds a control string.
 ESCAPES = (("\\", "\\b"), ("###", "\\h"), ("</turn>", "\\e"))
@@ -112,14 +115,16 @@ def fingerprint_of(paths: tuple[str, ...]) -> str:
 
 def canonical_turns(df: DataFrame, record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Add ``layout`` and ``turns`` to ``df``. ``record``: a variant column, as of ``parse_json`` or ``to_variant_object``."""
-    found = df.withColumn("r", record).withColumn("__print", fingerprint(F.col("r")))
+    kept = [c for c in df.columns if c.lower() not in ("layout", "turns")]
+    found = df.select(F.struct(*map(quoted, kept)).alias("row"), record.alias("r")).withColumn("print", fingerprint(F.col("r")))
     layout = turns = None
     for x in layouts:
-        here = F.col("__print") == fingerprint_of(x.paths)
+        here = F.col("print") == fingerprint_of(x.paths)
         value = F.expr(x.turns).cast(TURNS)
         layout = F.when(here, x.name) if layout is None else layout.when(here, x.name)
         turns = F.when(here, value) if turns is None else turns.when(here, value)
-    return found.withColumns({"layout": layout, "turns": F.coalesce(turns, F.expr(f"cast(array() as {TURNS})"))}).drop("r", "__print")
+    made = found.select("row", layout.alias("layout"), F.coalesce(turns, F.expr(f"cast(array() as {TURNS})")).alias("turns"))
+    return made.select(*(F.col("row").getField(c).alias(c) for c in kept), "layout", "turns")
 
 
 def format_conversations(turns: DataFrame, id_col: str = "conv_id", order_col: str = "turn", turns_col: str = "turns") -> DataFrame:

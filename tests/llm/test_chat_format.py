@@ -34,6 +34,12 @@ def test_layouts_become_canonical_turns(spark):
     assert [[tuple(t) for t in r.turns] for r in c.canonical_turns(both, F.parse_json("j")).collect()] == [[("user", "a\n\nb"), ("assistant", "")], [("system", "s"), ("user", "p"), ("assistant", "r")]]
 
 
+def test_other_columns_are_kept_whatever_their_names(spark):
+    df = spark.createDataFrame([(1, "own r", "p", "old", "user", "hi " * 100_000, 5)], "conv_id long, r string, `print` string, turns string, role string, text string, `odd ``name` int")
+    got = c.canonical_turns(df, F.to_variant_object(F.struct("role", "text"))).first()
+    assert (got.r, got["print"], got.role, got["odd `name"]) == ("own r", "p", "user", 5) and [tuple(t) for t in got.turns] == [("user", "hi " * 100_000)]
+
+
 def test_control_strings_round_trip(spark):
     rows = [(i // 3, i % 3, role, t) for i, (role, t) in enumerate((r, t) for t in NASTY for r in ("user", "assistant", "odd: ### \\role"))]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
