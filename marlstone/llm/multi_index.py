@@ -4,8 +4,9 @@ Vectors are scaled to length one and cut in halves; each half has its own codebo
 sample (``SAMPLE`` vectors, first in the order of a hash of their ids). The product of the codebooks is a grid of cells,
 and every vector is filed under its cell. A vector visits cells in the order of a lower bound on the distance between it
 and anything filed there, nearest first over both halves (the multi-sequence order), and stops when the bound passes the
-distance that the similarity allows: then nothing linked can lie further on, and recall is 1 whatever the codebooks. What
-the cells hold is compared in double precision.
+distance that the similarity allows: then nothing linked can lie further on, and recall is 1 whatever the codebooks. Of two
+cells, vectors of the first visit the second; the links found count for both sides. What the cells hold is compared in
+double precision, and products within ``CLOSE`` of the limit once more by the plain formula.
 
 Equal vectors of one label are one class, counted and then represented by the smallest id. Cells are dealt in blocks of
 bounded size, each met by all visitors of the cell; a block returns each visitor's count of links and a spanning forest.
@@ -29,6 +30,7 @@ from .vectors import matrix, runs, sample_rows, usable
 SAMPLE = 4096
 CENTRES = 16  # per half
 BLOCK = 4096  # vectors of one cell that are compared in one piece
+CLOSE = 1e-9
 VISITORS = 1024  # visitors compared with a block at a time
 
 
@@ -39,6 +41,14 @@ def unit(x):
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def plain_cosine(x, y) -> float:
+    """The cosine of two vectors, sums added up from the first component on."""
+    import math
+
+    dot = lambda a, b: sum((p * q for p, q in zip(a.tolist(), b.tolist())), 0.0)
+    return dot(x, y) / (math.sqrt(dot(x, x)) * math.sqrt(dot(y, y)))
+
+
 def fit_codebook(x, centres: int, rounds: int = 10):
     """K-means from evenly spaced rows of ``x``; at most ``centres`` distinct centres."""
     import numpy as np
@@ -119,38 +129,42 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id"
                     n2, low2 = bounds(x[:, width // 2 :], two)
                     for k, i in enumerate(here):
                         cell[i] = int(n1[k]) * len(two) + int(n2[k])
-                        visit[i] = visits(low1[k], low2[k], most)
+                        visit[i] = [c for c in visits(low1[k], low2[k], most) if c >= cell[i]]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in ("label", "id", "v", "times", "width")] + [pa.array(cell, pa.int32()), pa.array(visit, pa.list_(pa.int32()))], names=["label", "id", "v", "times", "width", "cell", "visit"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.select("label", "id", "v", "times", "width").schema)
     filed = written(classes.select("label", "id", "v", "times", "width").mapInArrow(file, f"{kinds}, cell int, visit array<int>"), "vector-cells")
     held = filed.groupBy("label", "width", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     key = ["label", "width", "cell"]
-    residents = filed.select(*key, "id", "v", "times").join(held, key).select(*key, F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("role"), "id", "v", "times")
-    visitors = filed.select("label", "width", F.explode("visit").alias("cell"), "id", "v", "times").join(held, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "v", "times")
+    residents = filed.select(*key, "id", "v", "times").join(held, key).select(*key, F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("role"), F.lit(True).alias("own"), "id", "v", "times")
+    visitors = filed.select("label", "width", F.col("cell").alias("home"), F.explode("visit").alias("cell"), "id", "v", "times").withColumn("own", F.col("home") == F.col("cell")).join(held, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "own", "id", "v", "times")
     met = residents.unionByName(visitors).withColumn("g", F.struct(*key, "block")).repartition("g").sortWithinPartitions("label", "width", "cell", "block", "role")
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        now, ids, vecs, times = None, [], [], []
+        now, ids, vecs, raws, times = None, [], [], [], []
         for k, part in runs(batches, [*key, "block", "role"]):
             if k[:4] != now:
-                now, ids, vecs, times = k[:4], [], [], []
-            x = unit(matrix(part.column("v")))
-            who = part.column("id").to_numpy()
+                now, ids, vecs, raws, times = k[:4], [], [], [], []
+            raw = matrix(part.column("v"))
+            x = unit(raw)
+            who, many, own = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "times", "own"))
             if k[4] == 0:
-                ids.append(who), vecs.append(x), times.append(part.column("times").to_numpy())
+                ids.append(who), vecs.append(x), raws.append(raw), times.append(many)
                 continue
             if not ids:
                 continue
             if len(ids) > 1:
-                ids, vecs, times = [np.concatenate(ids)], [np.concatenate(vecs)], [np.concatenate(times)]
+                ids, vecs, raws, times = [np.concatenate(ids)], [np.concatenate(vecs)], [np.concatenate(raws)], [np.concatenate(times)]
             for lo in range(0, len(who), VISITORS):
-                me = who[lo : lo + VISITORS]
-                linked = x[lo : lo + VISITORS] @ vecs[0].T >= least
+                me, away = who[lo : lo + VISITORS], ~own[lo : lo + VISITORS]
+                rough = x[lo : lo + VISITORS] @ vecs[0].T
+                linked = rough >= least
+                for i, j in zip(*np.nonzero(np.abs(rough - least) <= CLOSE)):
+                    linked[i, j] = plain_cosine(raw[lo + i], raws[0][j]) >= least
                 linked &= me[:, None] != ids[0][None]
-                count = linked @ times[0]
+                count, back = linked @ times[0], (linked & away[:, None]).T @ many[lo : lo + VISITORS]
                 # spanning forest: everything takes the smallest id within reach
                 a, b = me.copy(), ids[0].copy()
                 while True:
@@ -159,8 +173,8 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id"
                     if (a2 == a).all() and (b2 == b).all():
                         break
                     a, b = a2, b2
-                some, rest = count > 0, b != ids[0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([me[some], ids[0][rest]])), pa.array(np.concatenate([a[some], b[rest]])), pa.array(np.concatenate([count[some], np.zeros(rest.sum(), np.int64)]))], names=["a", "b", "n"])
+                some, rest = count > 0, (b != ids[0]) | (back > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([me[some], ids[0][rest]])), pa.array(np.concatenate([a[some], b[rest]])), pa.array(np.concatenate([count[some], back[rest]]))], names=["a", "b", "n"])
 
     links = written(met.drop("g").mapInArrow(compare, "a long, b long, n long"), "vector-links")
     groups = connected_components(links.select("a", "b"))
