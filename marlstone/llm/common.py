@@ -44,7 +44,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     with small_batches(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
-    _files(df.sparkSession, path, "deleteOnExit")
+    delete_at_end(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
@@ -63,6 +63,11 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
         spark.conf.set(name, before)
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver ends."""
+    _files(spark, path, "deleteOnExit")
+
+
 def drop_written(*tables: DataFrame) -> None:
     """Remove tables made by ``written`` that nothing reads any more."""
     for df in tables:

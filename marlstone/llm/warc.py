@@ -7,8 +7,10 @@ task is simply repeated. Every file begins with its dictionary.
 
 Reading. Files are read by Spark; a frame is found by walking its block headers, decompressed with the file's dictionary,
 and checked: version line, required headers, lengths of block and payload, end marks, digest of the payload. Anything
-else raises ValueError. A file is one row while it is read, so the writer's partitions bound it (Spark's advisory
-partition size).
+else raises ValueError. Archives of others are read too: all record types of the standard, and ids that this module did
+not make, which stand in ``record_id`` and ``refers_to_id`` while ``page_id`` and ``refers_to`` are null. A payload is what
+follows the HTTP header in a response, revisit or request over HTTP, else the block. A file is one row while it is read, 2
+GB at most, so the writer's partitions bound it (Spark's advisory partition size).
 
 Defined results: null html is an empty payload; a null url has no target header; control characters and spaces in a url
 are percent-encoded; rows that repeat the smallest id of a payload are responses all; a null page id is never smallest;
@@ -27,12 +29,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import delete_at_end, fresh_path
 
 #: Fixed values of the formats.
 ZSTD_MAGIC, DICTIONARY_MAGIC, SKIPPABLE = 0xFD2FB528, 0x184D2A5D, range(0x184D2A50, 0x184D2A60)
 EMPTY_FRAME = "P*M\x18\x00\x00\x00\x00"  # 0x184D2A50 and length 0
 VERSION = b"WARC/1.1"
+VERSIONS = (b"WARC/1.0", VERSION)
+TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = 0x6D61726C73746F6E
 DATE = "1970-01-01T00:00:00Z"
@@ -45,16 +49,18 @@ def record_id(page_id: int | None) -> str:
 
 
 def page_of(urn: str) -> int | None:
-    space, low = divmod(uuid.UUID(urn).int, 1 << 64)
-    if space == NAMESPACE + 1:
+    """The page id in a record's URN; None if there is none, or the record is not of this module's making."""
+    try:
+        space, low = divmod(uuid.UUID(urn).int, 1 << 64)
+    except ValueError:
         return None
     if space != NAMESPACE:
-        raise ValueError(f"not one of our records: {urn}")
+        return None
     return low - (1 << 64) if low >> 63 else low
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, first: int | None, revisit: bool) -> bytes:
-    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    digest = sha1(payload)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     head = ["WARC-Type: " + ("revisit" if revisit else "response"), f"WARC-Record-ID: <{record_id(page_id)}>", f"WARC-Date: {DATE}"]
@@ -67,40 +73,59 @@ def record(page_id: int | None, url: str | None, payload: bytes, first: int | No
     return VERSION + b"\r\n" + "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def sha1(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
 def parse_record(data: bytes) -> dict:
     """The record's fields; ValueError if anything is amiss."""
     end = data.find(b"\r\n\r\n")
     lines = data[: max(0, end)].split(b"\r\n")
-    if end < 0 or lines[0] != VERSION:
+    if end < 0 or lines[0] not in VERSIONS:
         raise ValueError("no WARC header")
-    head = {}
+    head: dict[str, str] = {}
+    last = None
     for line in lines[1:]:
-        name, colon, value = line.partition(b": ")
-        if not colon:
+        name, colon, value = line.partition(b":")
+        if line[:1] in b" \t" and last:  # goes on with the line before
+            head[last] += " " + line.strip().decode("utf-8", "surrogatepass")
+            continue
+        if not colon or not name.strip():
             raise ValueError(f"bad header line {line[:80]!r}")
-        head[name.decode().lower()] = value.decode("utf-8", "surrogatepass")
-    missing = {"warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest"} - head.keys()
+        last = name.strip().decode("utf-8", "replace").lower()
+        head[last] = value.strip().decode("utf-8", "surrogatepass")
+    missing = {"warc-type", "warc-record-id", "warc-date", "content-length"} - head.keys()
     if missing or not head["content-length"].isdigit():
         raise ValueError(f"headers missing or bad: {sorted(missing) or 'content-length'}")
     block, tail = data[end + 4 : end + 4 + int(head["content-length"])], data[end + 4 + int(head["content-length"]) :]
     if len(block) != int(head["content-length"]) or tail != b"\r\n\r\n":
         raise ValueError("the block's length is not as stated")
-    http_end = block.find(b"\r\n\r\n")
-    length = re.search(rb"\r\nContent-Length: (\d+)(?:\r\n|$)", block[: max(0, http_end)])
-    if http_end < 0 or not length:
-        raise ValueError("no HTTP header")
-    payload, kind = block[http_end + 4 :], head["warc-type"]
-    if kind not in ("response", "revisit"):
+    kind = head["warc-type"]
+    if kind not in TYPES:
         raise ValueError(f"record type {kind}")
+    payload, size = block, len(block)
+    if kind in ("response", "request", "revisit") and head.get("content-type", "").lower().startswith("application/http"):
+        http_end = block.find(b"\r\n\r\n")
+        if http_end < 0:
+            raise ValueError("no HTTP header")
+        payload = block[http_end + 4 :]
+        length = re.search(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*(?:\r\n|$)", block[:http_end], re.I)
+        size = int(length[1]) if length else len(payload)
+        if kind != "revisit" and size != len(payload) and "warc-truncated" not in head:
+            raise ValueError("the payload's length is not as stated")
+    digest = head.get("warc-payload-digest", "")
+    stated = digest.removeprefix("sha1:") if digest.startswith("sha1:") else None
     if kind == "revisit":
-        if payload or "warc-refers-to" not in head:
-            raise ValueError("a revisit with a payload or without what it refers to")
-    elif len(payload) != int(length[1]) or head["warc-payload-digest"] != "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode():
-        raise ValueError("the payload's length or digest is not as stated")
+        if payload and payload is not block:
+            raise ValueError("a revisit with a payload")
+    elif stated is not None and stated != sha1(payload) and "warc-truncated" not in head:
+        raise ValueError("the payload's digest is not as stated")
+    if stated is None and kind != "revisit":
+        stated = sha1(payload)
+    own, other = head["warc-record-id"].strip("<>"), head.get("warc-refers-to", "").strip("<>") or None
     return {
-        "page_id": page_of(head["warc-record-id"].strip("<>")), "url": head.get("warc-target-uri"), "payload_bytes": int(length[1]),
-        "payload_digest": head["warc-payload-digest"].removeprefix("sha1:"), "record_type": kind,
-        "refers_to": page_of(head["warc-refers-to"].strip("<>")) if kind == "revisit" else None, "payload": None if kind == "revisit" else payload,
+        "page_id": page_of(own), "url": head.get("warc-target-uri", "").strip("<>") or None, "payload_bytes": size, "payload_digest": stated, "record_type": kind,
+        "refers_to": page_of(other) if other else None, "payload": None if kind == "revisit" else payload, "record_id": own, "refers_to_id": other,
     }
 
 
@@ -191,12 +216,12 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str =
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload), one per record."""
+    """Rows (page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload, record_id, refers_to_id), one per record."""
 
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("record_id", pa.string()), ("refers_to_id", pa.string())])
         for batch in batches:
             for data in batch.column(0):
                 out: list[dict] = []
@@ -208,11 +233,12 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(rows, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return files.mapInArrow(rows, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, record_id string, refers_to_id string")
 
 
 def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` to the shared folder and read the archives back."""
     path = fresh_path(pages.sparkSession, "warc")
     write_archive(pages, path, min_bytes)
+    delete_at_end(pages.sparkSession, path)
     return read_archive(pages.sparkSession, path)

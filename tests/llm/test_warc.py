@@ -1,6 +1,7 @@
 import base64
 import glob
 import hashlib
+import os
 import struct
 from collections import defaultdict
 
@@ -67,6 +68,32 @@ def test_faults_are_found():
             list(warc.records_in(bad))
 
 
+def foreign(kind, block, content_type="text/plain", version=b"WARC/1.0", more=()):
+    head = [f"WARC-Type:{kind}", "WARC-Record-ID: <urn:uuid:11111111-2222-3333-4444-555555555555>", "warc-date: 2020-01-01T00:00:00Z", f"Content-Type: {content_type}", *more, f"Content-Length:  {len(block)}"]
+    return version + b"\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark):
+    http = "application/http; msgtype=response"
+    records = [
+        foreign("warcinfo", b"software: x\r\n", "application/warc-fields"), foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "application/http; msgtype=request"), foreign("resource", b"raw"),
+        foreign("response", b"HTTP/1.0 200 OK\r\ncontent-length:4\r\n\r\nbody", http, more=("WARC-Target-URI: <http://x/>", "WARC-Block-Digest: md5:zz")), foreign("response", b"HTTP/1.0 200 OK\r\n\r\nchunk", http, b"WARC/1.1"),
+        foreign("revisit", b"HTTP/1.0 304 Not Modified\r\n\r\n", http, more=("WARC-Refers-To: <urn:x:y>", "WARC-Payload-Digest: sha1:AAAA", "X-Note: one", "  and two")), foreign("response", b"1.2.3.4", "text/dns"),
+    ]
+    data = b"".join(map(zstandard.compress, records))
+    path = fresh_path(spark, "warc-foreign")
+    folder = path.removeprefix("file:")
+    os.makedirs(folder)
+    with open(f"{folder}/a.warc.zst", "wb") as f:
+        f.write(data)
+    got = warc.read_archive(spark, path).collect()
+    assert [(r.record_type, r.payload_bytes, r.payload and bytes(r.payload)) for r in got] == [
+        ("warcinfo", 13, b"software: x\r\n"), ("request", 0, b""), ("resource", 3, b"raw"), ("response", 4, b"body"), ("response", 5, b"chunk"), ("revisit", 0, None), ("response", 7, b"1.2.3.4"),
+    ]
+    assert {r.page_id for r in got} == {None} and got[3].url == "http://x/" and got[5].refers_to_id == "urn:x:y" and got[5].payload_digest == "AAAA"
+    assert all(r.record_id == "urn:uuid:11111111-2222-3333-4444-555555555555" for r in got)
+
+
 def test_query_against_brute_force(spark, sf_dir):
     rows = [(r.page_id, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     assert sorted((tuple(r) for r in op6_warc(spark, sf_dir).collect()), key=str) == brute(rows)
