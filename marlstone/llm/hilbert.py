@@ -11,14 +11,16 @@ beat centre . query + radius * |query|. Only pieces whose bound reaches a query'
 With this second look (``complete``, the default) the result is exact; without it, it is what the windows found. On
 vectors without any structure, bounds exclude little and each query is compared with most pieces, in blocks.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors
-whose width is not that of the others (the most frequent one) or null ids; equal scores go by the smaller id; rows that
-repeat an id count as one vector, that which compares smallest; other columns are ignored.
+Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids;
+vectors of different widths don't meet, each width is searched by itself; equal scores go by the smaller id; rows that
+repeat an id with different vectors are rows of their own, each a query of its own (with ranks of its own) and a candidate
+of the others, while rows equal in both are one; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,38 +83,44 @@ def exact_scores(x, q):
     return np.add.accumulate(x * q, axis=1)[:, -1]
 
 
-def best(ids, x, q, me: int, k: int, floor: float = float("-inf"), rough=None):
-    """The ``k`` best rows (score, id) for one query, of those that score ``floor`` or more."""
+def best(ids, x, q, mine, k: int, floor: float = float("-inf"), rough=None):
+    """The ``k`` best rows (score, place) for one query, of those that score ``floor`` or more and are not ``mine``, its own row."""
     import numpy as np
 
     rough = x @ q if rough is None else rough
-    rough = np.where(ids == me, -np.inf, rough)
+    rough = np.where(mine, -np.inf, rough)
     slack = 1e-9 * (1 + np.abs(rough[np.isfinite(rough)]).max(initial=0))
     if len(rough) > k:
         floor = max(floor, np.partition(rough, -k)[-k])
-    some = np.flatnonzero((rough >= floor - slack) & (ids != me))
+    some = np.flatnonzero((rough >= floor - slack) & ~mine)
     score = exact_scores(x[some], q)
     order = np.lexsort((ids[some], -score))[:k]
-    return score[order], ids[some][order]
+    return score[order], some[order]
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     """The ``k`` best of each query; ``found``: arrays per query and place, each already the best there."""
-    each = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    each = found.select("query_id", "query_own", F.explode(F.arrays_zip("ids", "owns", "scores")).alias("x"))
+    each = each.select("query_id", "query_own", F.col("x.ids").alias("vec_id"), F.col("x.owns").alias("own"), F.col("x.scores").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_own").orderBy(F.desc("score"), "vec_id", "own"))
     return each.distinct().withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", complete: bool = True, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the ``k`` nearest found of each row for which the column ``is_query`` holds."""
+    every = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), is_query.alias("q")).where(usable(F.col("v")) & F.col("id").isNotNull())
+    kept = written(every.groupBy("id", "v").agg(F.coalesce(F.bool_or("q"), F.lit(False)).alias("q")), "ann-rows")
+    widths = sorted(r["w"] for r in kept.select(F.size("v").alias("w")).distinct().collect()) or [1]  # the widths of vectors in one table are few
+    found = [_search(kept.where(F.size("v") == w), w, k, complete, window, piece) for w in widths]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search(kept: DataFrame, width: int, k: int, complete: bool, window: int, piece: int) -> DataFrame:
+    """As above, for rows (id, v, q) of one width."""
     import numpy as np
 
-    every = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), is_query.alias("q")).where(usable(F.col("v")) & F.col("id").isNotNull())
-    width = every.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
-    width = width[0]["w"] if width else 1
-    kept = every.where(F.size("v") == width).groupBy("id").agg(F.min("v").alias("v"), F.coalesce(F.bool_or("q"), F.lit(False)).alias("q"))
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    base = written(kept.withColumn("norm2", norm2), "ann-vectors")
+    base = written(kept.withColumns({"norm2": norm2, "own": F.xxhash64("v")}), "ann-vectors")
     longest = base.agg(F.max("norm2")).first()[0] or 1.0
     planes = projections(width, CURVES, DIMS)
 
@@ -130,11 +138,10 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_c
                     # random directions spread a unit vector by about 1 / sqrt(width); the shift moves the grid
                     at = ((x @ plane) * np.sqrt(width + 1) / 8 + 0.5 + shift / 8) * cells
                     key = hilbert_keys(np.clip(at, 0, cells - 1), BITS)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), curve, np.int32)), pa.array(key), part.column("id"), part.column("v"), part.column("q")], names=["curve", "key", "id", "v", "q"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), curve, np.int32)), pa.array(key), part.column("id"), part.column("own"), part.column("v"), part.column("q")], names=["curve", "key", "id", "own", "v", "q"])
 
-    points = base.select("id", "v", "q").mapInArrow(keyed, "curve int, key long, id long, v array<float>, q boolean")
-    if dict(base.dtypes)["v"] != "array<float>":
-        points = base.select("id", F.col("v").cast("array<double>").alias("v"), "q").mapInArrow(keyed, "curve int, key long, id long, v array<double>, q boolean")
+    kind = "array<float>" if dict(base.dtypes)["v"] == "array<float>" else "array<double>"
+    points = base.select("id", "own", F.col("v").cast(kind).alias("v"), "q").mapInArrow(keyed, f"curve int, key long, id long, own long, v {kind}, q boolean")
 
     def numbered(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -146,41 +153,43 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_c
             seen[curve] = n + part.num_rows
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, task, np.int32)), pa.array(np.arange(n, n + part.num_rows))], names=[*part.schema.names, "task", "nth"])
 
-    kind = dict(points.dtypes)["v"]
-    ordered = written(points.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id").mapInArrow(numbered, f"curve int, key long, id long, v {kind}, q boolean, task int, nth long"), "ann-curves")
+    in_order = points.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
+    ordered = written(in_order.mapInArrow(numbered, f"curve int, key long, id long, own long, v {kind}, q boolean, task int, nth long"), "ann-curves")
     sizes = ordered.groupBy("curve", "task").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("curve").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     placed = ordered.join(before, ["curve", "task"]).withColumn("place", F.col("before") + F.col("nth"))
 
     # windows of every curve
     here = placed.withColumn("box", F.floor(F.col("place") / window))
-    residents = here.select("curve", "box", F.lit(0).alias("role"), "id", "v", F.lit(float("-inf")).alias("floor"))
-    near = here.where("q").select("curve", F.explode(F.array(F.col("box") - 1, F.col("box"), F.col("box") + 1)).alias("box"), F.lit(1).alias("role"), "id", "v", F.lit(float("-inf")).alias("floor"))
+    residents = here.select("curve", "box", F.lit(0).alias("role"), "id", "own", "v", F.lit(float("-inf")).alias("floor"))
+    near = here.where("q").select("curve", F.explode(F.array(F.col("box") - 1, F.col("box"), F.col("box") + 1)).alias("box"), F.lit(1).alias("role"), "id", "own", "v", F.lit(float("-inf")).alias("floor"))
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        now, ids, vecs = None, [], []
+        now, ids, owns, vecs = None, [], [], []
         for key, part in runs(batches, ["curve", "box", "role"]):
             if key[:2] != now:
-                now, ids, vecs = key[:2], [], []
-            x, who = matrix(part.column("v")), part.column("id").to_numpy()
+                now, ids, owns, vecs = key[:2], [], [], []
+            x, who, own = matrix(part.column("v")), part.column("id").to_numpy(), part.column("own").to_numpy()
             if key[2] == 0:
-                ids.append(who), vecs.append(x)
+                ids.append(who), owns.append(own), vecs.append(x)
                 continue
             if not ids:
                 continue
             if len(ids) > 1:
-                ids, vecs = [np.concatenate(ids)], [np.concatenate(vecs)]
+                ids, owns, vecs = [np.concatenate(ids)], [np.concatenate(owns)], [np.concatenate(vecs)]
             floors = part.column("floor").to_numpy()
             for lo in range(0, len(who), AT_ONCE):
                 rough = x[lo : lo + AT_ONCE] @ vecs[0].T
-                out = [best(ids[0], vecs[0], x[lo + i], who[lo + i], k, floors[lo + i], rough[i]) for i in range(len(rough))]
-                yield pa.RecordBatch.from_arrays([pa.array(who[lo : lo + AT_ONCE]), pa.array([b for _, b in out], pa.list_(pa.int64())), pa.array([a for a, _ in out], pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
+                me = slice(lo, lo + AT_ONCE)
+                out = [best(ids[0], vecs[0], x[i], (ids[0] == who[i]) & (owns[0] == own[i]), k, floors[i], rough[i - lo]) for i in range(lo, lo + len(rough))]
+                lists = [pa.array([y[at] for _, at in out], pa.list_(pa.int64())) for y in (ids[0], owns[0])]
+                yield pa.RecordBatch.from_arrays([pa.array(who[me]), pa.array(own[me]), *lists, pa.array([score for score, _ in out], pa.list_(pa.float64()))], names=["query_id", "query_own", "ids", "owns", "scores"])
 
     def meet(df: DataFrame) -> DataFrame:
         by = df.withColumn("g", F.struct("curve", "box")).repartition("g").sortWithinPartitions("curve", "box", "role").drop("g")
-        return by.mapInArrow(compare, "query_id long, ids array<long>, scores array<double>")
+        return by.mapInArrow(compare, "query_id long, query_own long, ids array<long>, owns array<long>, scores array<double>")
 
     found = _ranked(meet(residents.unionByName(near)), k)
     if not complete:
@@ -188,10 +197,10 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_c
 
     # the second look: pieces of the first curve, unless nothing in them can beat what the windows found
     found = written(found, "ann-windows")
-    queries = base.where("q").select(F.col("id"), "v", "norm2")
-    floor = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
-    asked = queries.join(floor, queries["id"] == floor["query_id"], "left").select("id", "v", "norm2", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-    longer = placed.where("curve = 0").select("curve", F.floor(F.col("place") / piece).alias("box"), "id", "v")
+    queries = base.where("q").select("id", "own", F.col("v").cast(kind).alias("v"), "norm2")
+    floor = found.groupBy(F.col("query_id").alias("id"), F.col("query_own").alias("own")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
+    asked = queries.join(floor, ["id", "own"], "left").select("id", "own", "v", "norm2", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    longer = placed.where("curve = 0").select("curve", F.floor(F.col("place") / piece).alias("box"), "id", "own", "v")
 
     def balls(batches: Iterator) -> Iterator:
         """Of the part of a piece in this task: count, sum, and the largest distance from the part's own mean."""
@@ -205,7 +214,8 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_c
     parts = written(longer.select("box", "v").mapInArrow(balls, "box long, centre array<double>, radius double"), "ann-balls")
     dot = lambda v: F.aggregate(F.zip_with(v, "centre", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
     reach = dot("v") + F.col("radius") * F.sqrt("norm2") * (1 + 1e-9) + 1e-9
-    visited = asked.join(parts, reach >= F.col("floor")).select(F.lit(0).alias("curve"), "box", F.lit(1).alias("role"), "id", "v", "floor").dropDuplicates(["id", "box"])
-    again = meet(longer.select("curve", "box", F.lit(0).alias("role"), "id", "v", F.lit(float("-inf")).alias("floor")).unionByName(visited))
-    first = found.groupBy("query_id").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("score").alias("scores"))
+    visited = asked.join(parts, reach >= F.col("floor")).select(F.lit(0).alias("curve"), "box", F.lit(1).alias("role"), "id", "own", "v", "floor").dropDuplicates(["id", "own", "box"])
+    again = meet(longer.select("curve", "box", F.lit(0).alias("role"), "id", "own", "v", F.lit(float("-inf")).alias("floor")).unionByName(visited))
+    first = found.groupBy("query_id", "query_own").agg(F.collect_list(F.struct("vec_id", "own", "score")).alias("x"))
+    first = first.select("query_id", "query_own", F.col("x.vec_id").alias("ids"), F.col("x.own").alias("owns"), F.col("x.score").alias("scores"))
     return _ranked(again.unionByName(first), k).select("query_id", "rank", "vec_id", "score")

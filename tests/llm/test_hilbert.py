@@ -53,6 +53,14 @@ def test_windows_alone_find_most_of_clustered_neighbours(spark):
     assert len(got & want) / len(want) > 0.7
 
 
+def test_repeated_ids_and_several_widths(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.9, 0.1]), (1, [0.1, 0.2]), (1, [0.1, 0.2]), (2, [0.0, 1.0]), (3, [1.0, 2.0, 3.0]), (4, [3.0, 2.0, 1.0]), (5, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for complete in (True, False):
+        got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in h.search(df, F.col("vec_id") != 2, k=5, complete=complete).collect())
+        assert got == sorted([(1, 1, 1, 0.9), (1, 2, 1, 0.1), (1, 3, 2, 0.0), (1, 1, 1, 0.9), (1, 2, 1, 0.11), (1, 3, 2, 0.1), (1, 1, 2, 0.2), (1, 2, 1, 0.11), (1, 3, 1, 0.1), (3, 1, 4, 10.0), (4, 1, 3, 10.0)])
+
+
 def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in h.search(df, F.col("vec_id") == 0).collect()) == [(0, 1, 1, 0.5), (0, 2, 2, 0.0)]
