@@ -81,6 +81,9 @@ def _files(spark: SparkSession, path: str, call: str, *args) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Have Spark's cleaner drop the shuffle files of queries that are over."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Have Spark's cleaner drop the shuffle files of queries that are over. It does so when the driver's collector finds
+    their plans gone, which may take half an hour in a driver with little to do; a chain of large steps can't wait for that.
+    Plans that Python holds are let go with the second call only."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()

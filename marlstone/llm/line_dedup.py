@@ -71,7 +71,8 @@ def stretches(h):
         at = np.array([m - 1 - int(g[::-1].argmin())])
     else:
         near = np.lib.stride_tricks.sliding_window_view(g, PICK)[:, ::-1]
-        at = np.unique(np.arange(PICK - 1, m) - near.argmin(1))
+        picked = np.arange(PICK - 1, m) - near.argmin(1)  # never falls
+        at = picked[np.concatenate([[True], picked[1:] != picked[:-1]])]
     return at, g[at]
 
 
@@ -87,7 +88,7 @@ def units_of(docs: DataFrame, line_words: int | None = None) -> DataFrame:
         import xxhash
 
         known: dict[str, int] = {}
-        turn = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
+        turn, second = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
         none = np.zeros(0, np.int64)
 
         def lines_of(h, line):
@@ -95,10 +96,18 @@ def units_of(docs: DataFrame, line_words: int | None = None) -> DataFrame:
             size = np.diff(first, append=len(h))
             nth = (np.arange(len(h)) - np.repeat(first, size) + 1).astype(np.uint64)
             with np.errstate(over="ignore"):
-                one, two = (mix(np.add.reduceat(mix(h ^ (nth * t)), first) ^ size.astype(np.uint64)) for t in turn)
+                m = mix(h ^ (nth * turn))
+                one, two = (mix(np.add.reduceat(x, first) ^ size.astype(np.uint64)) for x in (m, (m ^ (m >> np.uint64(31))) * second))
             long = size >= line_words
             return first[long], (first + size)[long], one[long], two[long] | np.uint64(1)
 
+        def first_of(d):
+            """How many places before each the first equal one stands."""
+            if len(set(d.tolist())) == len(d):
+                return np.zeros(len(d), np.int64)
+            _, first, number = np.unique(d, return_index=True, return_inverse=True)
+            return np.arange(len(d)) - first[number]
+
         def of(text: str) -> tuple:
             words = text.split()
             if not words:
@@ -111,12 +120,10 @@ def units_of(docs: DataFrame, line_words: int | None = None) -> DataFrame:
             starts, line = word_starts(text)
             at, d1 = stretches(h)
             d2, pairs = np.zeros(len(at), np.uint64), none
-            _, first, number = np.unique(d1, return_index=True, return_inverse=True)
-            back = np.arange(len(at)) - first[number]
+            back = first_of(d1)
             if line_words is not None:
                 a, b, one, two = lines_of(h, line)
-                _, first, number = np.unique(one, return_index=True, return_inverse=True)
-                back = np.concatenate([back, np.arange(len(a)) - first[number]])
+                back = np.concatenate([back, first_of(one)])
                 d1, d2, pairs = np.concatenate([d1, one]), np.concatenate([d2, two]), np.column_stack([a, b]).ravel()
             return np.diff(starts, prepend=0, append=len(text)), np.diff(at, prepend=0), pairs, back, d1.view(np.int64), d2.view(np.int64)
 
@@ -159,23 +166,32 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
         import numpy as np
         import pyarrow as pa
 
-        def of(row: dict) -> Iterator[tuple[int, int, int]]:
-            first = {r["at"]: r["first"] for r in row["repeats"] or ()}
-            first |= {at: first.get(at - back, row["id"]) for at, back in enumerate(row["back"]) if back}
-            spans, lines = np.cumsum(row["spans"]).tolist(), row["lines"]
-            long = [x for x in merged([(spans[u], spans[u] + SPAN, first[u]) for u in sorted(first) if u < len(spans)]) if x[1] - x[0] >= min_words]
-            whole = [(lines[2 * (u - len(spans))], lines[2 * (u - len(spans)) + 1], first[u]) for u in first if u >= len(spans)]
-            return merged(sorted([*long, *whole]))
+        def of(i: int, known: dict[int, int], spans, lines, back) -> list[tuple[int, int, int]]:
+            first = dict(known)
+            for at in np.flatnonzero(back).tolist():
+                first[at] = known.get(at - int(back[at]), i)
+            places = np.cumsum(spans).tolist()
+            n = len(places)
+            long = [x for x in merged([(places[u], places[u] + SPAN, first[u]) for u in sorted(first) if u < n]) if x[1] - x[0] >= min_words]
+            return merged(sorted([*long, *((int(lines[2 * (u - n)]), int(lines[2 * (u - n) + 1]), first[u]) for u in first if u >= n)]))
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                out: list[list] = [[], [], [], [], [], []]
-                for row in batch.slice(lo, 128).to_pylist():
-                    starts = np.cumsum(row["steps"])
-                    for a, b, keeper in of(row):
-                        for column, value in zip(out, (row["id"], starts[a], starts[b], b - a, keeper, row["hash"])):
+            out: list[list] = [[], [], [], [], [], []]
+            ids, hashes = batch.column("id").to_pylist(), batch.column("hash").to_pylist()
+            lists = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in (batch.column(k) for k in ("steps", "spans", "lines", "back"))]
+            pairs = batch.column("repeats")
+            held, pair_at, pair_first = pairs.is_valid().to_numpy(zero_copy_only=False), pairs.values.field("at").to_numpy(), pairs.values.field("first").to_numpy()
+            ends = pairs.offsets.to_numpy()
+            for n, i in enumerate(ids):
+                steps, spans, lines, back = (v[o[n] : o[n + 1]] for o, v in lists)
+                mine = slice(ends[n], ends[n + 1] if held[n] else ends[n])
+                gone = of(i, dict(zip(pair_at[mine].tolist(), pair_first[mine].tolist())), spans, lines, back)
+                if gone:
+                    starts = np.cumsum(steps)
+                    for a, b, keeper in gone:
+                        for column, value in zip(out, (i, starts[a], starts[b], b - a, keeper, hashes[n])):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["id", "start", "end", "n_words", "first_id", "text_hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["id", "start", "end", "n_words", "first_id", "text_hash"])
 
     only = texts.select("id", "hash", "steps", "spans", "lines", "back")
     candidates = only.join(found, ["id", "hash"], "left").where("repeats is not null or exists(back, x -> x > 0)")
