@@ -12,7 +12,6 @@ from ..functions.text import is_key_like, is_sensitive
 
 MOST_CODES = 25
 MOST_PARTITIONS = 8
-AT_ONCE = 8  # columns whose distinct values one job counts: each multiplies the rows that it shuffles
 
 
 def groupable(kind: T.DataType) -> bool:
@@ -31,28 +30,20 @@ def _q(name: str) -> Column:
 def profile(df: DataFrame, table: str) -> DataFrame:
     """Rows (table, column, type, row_count, distinct_count, null_count, measurement), one per column.
 
-    Counts come from one scan per ``AT_ONCE`` columns. A column whose type can't be grouped is UNSUPPORTED, its counts null.
+    Each column is read by itself and grouped map-side first, so no row is copied for the sake of several distinct counts. A
+    column whose type can't be grouped is UNSUPPORTED, its counts null.
     """
     out = None
-    fields = list(df.schema)
-    for lo in range(0, len(fields), AT_ONCE):
-        part = fields[lo : lo + AT_ONCE]
-        aggs = [F.count(F.lit(1)).alias("n")]
-        for i, f in enumerate(part):
-            fine = groupable(f.dataType)
-            aggs += [F.count_distinct(_q(f.name)).alias(f"d{i}") if fine else F.lit(None).cast("long").alias(f"d{i}"), F.count(_q(f.name)).alias(f"c{i}")]
-        rows = F.array(
-            *(
-                F.struct(
-                    F.lit(table).alias("table"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
-                    F.when(F.lit(groupable(f.dataType)), F.col("n")).alias("row_count"), F.col(f"d{i}").alias("distinct_count"),
-                    F.when(F.lit(groupable(f.dataType)), F.col("n") - F.col(f"c{i}")).alias("null_count"),
-                    F.lit("MEASURED" if groupable(f.dataType) else "UNSUPPORTED").alias("measurement"),
-                )
-                for i, f in enumerate(part)
-            )
+    for f in df.schema:
+        if groupable(f.dataType):
+            values = df.groupBy(_q(f.name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+            counts = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.count("v").alias("distinct_count"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"))
+        else:
+            counts = df.sparkSession.range(1).select(*(F.lit(None).cast("long").alias(c) for c in ("row_count", "distinct_count", "null_count")))
+        one = counts.select(
+            F.lit(table).alias("table"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), "row_count", "distinct_count", "null_count",
+            F.lit("MEASURED" if groupable(f.dataType) else "UNSUPPORTED").alias("measurement"),
         )
-        one = df.agg(*aggs).select(F.inline(rows))
         out = one if out is None else out.unionByName(one)
     return out
 

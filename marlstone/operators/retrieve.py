@@ -25,7 +25,9 @@ def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "t
     is shuffled.
     """
     words = sorted(set(query_terms(query)))
-    counted = docs.select(F.col(id_col).alias("id"), terms(F.coalesce(text_col, F.lit(""))).alias("w")).select("id", F.size("w").alias("dl"), *(_times(w).alias(f"tf{i}") for i, w in enumerate(words)))
+    split = docs.select(F.col(id_col).alias("id"), terms(F.coalesce(text_col, F.lit(""))).alias("w"))
+    own = split.select("id", F.size("w").alias("dl"), F.filter("w", lambda t: t.isin(*words)).alias("w"))  # the query's terms only
+    counted = own.select("id", "dl", *(_times(w).alias(f"tf{i}") for i, w in enumerate(words)))
     figures = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
     both = counted.crossJoin(F.broadcast(figures))  # one row
     score: Column = F.lit(0.0)

@@ -9,44 +9,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-BUCKETS = 256  # of each pass of a selection
+NEAR = 0.005  # share of the values on either side of a place among which a pass looks for it
 FEW = 10_000  # values that are sorted on the driver
 
 
 def value_at(values: DataFrame, place: int) -> float | None:
-    """The value at ``place`` (from 0) of the sorted values of the one numeric column, nulls left out; None beyond the last.
+    """The value at ``place`` (from 0) of the sorted values of the one numeric column, nulls and NaN left out; None beyond the last.
 
-    Each pass counts the values between approximate quantiles and goes on with those of the one range that holds the
-    place, until ``FEW`` are left or all are equal: what reaches the driver is bounded.
+    Each pass counts what lies below and between two approximate quantiles around the place and goes on with the part that
+    holds it, until ``FEW`` are left or all are equal: what reaches the driver is bounded.
     """
     name = values.columns[0]
-    left = values.select(F.col(name).cast("double").alias("v")).where("v is not null")
-    while True:
-        n, low, high, edges = left.agg(F.count("v"), F.min("v"), F.max("v"), F.approx_percentile("v", [k / BUCKETS for k in range(1, BUCKETS)], 10 * BUCKETS)).first()
-        if place >= n or place < 0:
-            return None
-        if low == high:
-            return low
+    left = values.select(F.col(name).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    n, low, high = left.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not 0 <= place < n:
+        return None
+    while low != high:
         if n <= FEW:
             return sorted(r[0] for r in left.collect())[place]
-        cuts = F.array(*(F.lit(float(x)) for x in sorted(set(edges) - {high})))
-        bucket = F.aggregate(cuts, F.lit(0), lambda k, x: k + (F.col("v") > x).cast("int"))
-        sizes = dict(left.groupBy(bucket.alias("b")).count().collect())
-        for b in sorted(sizes):
-            if place < sizes[b]:
+        a, b = left.agg(F.approx_percentile("v", [max(0.0, place / n - NEAR), min(1.0, place / n + NEAR)], 10_000)).first()[0]
+        while True:
+            below, upto = left.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v") <= b)).first()
+            if place < below:
+                part, place_in, size = left.where(F.col("v") < a), place, below
+            elif place < upto:
+                part, place_in, size = left.where(F.col("v").between(a, b)), place - below, upto - below
+            else:
+                part, place_in, size = left.where(F.col("v") > b), place - upto, n - upto
+            if size < n:
                 break
-            place -= sizes[b]
-        if len(sizes) == 1:  # no cut parts them: halve the range
-            half = (low + high) / 2
-            upper = left.where(F.col("v") > half).count()
-            left, place = (left.where(F.col("v") <= half), place) if place < n - upper else (left.where(F.col("v") > half), place - (n - upper))
-        else:
-            left = left.where(bucket == b)
+            a, b = low, low + (high - low) / 2  # nothing was left out: halve the range
+            if b >= high:  # neighbouring numbers
+                b = low
+        left, place = part, place_in
+        n, low, high = left.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    return low
 
 
 def percentile_at(values: DataFrame, q: float) -> float | None:
     """The value at place int(q * n) of the sorted values, the last at most."""
-    n = values.agg(F.count(F.col(values.columns[0]))).first()[0]
+    v = F.col(values.columns[0]).cast("double")
+    n = values.agg(F.count_if(v.isNotNull() & ~F.isnan(v))).first()[0]
     return value_at(values, min(int(q * n), n - 1)) if n else None
 
 
