@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from .common import fresh_path
+from .common import delete_at_end, fresh_path, small_batches, trim
 from .word_split import BYTE_CHARS, Numbering, Splitter, encode_words, load, tokenizer_path
 
 BLOCK_CHARS = 16_000_000
+AT_ONCE = 256  # documents that leave a Python worker at a time
 BYTE_BPE = "byte_bpe_50k.json"
 _BLOCKS = "block long, doc_ids array<long>, sizes array<int>, n_words int, positions binary, words array<string>"
 
@@ -50,7 +51,7 @@ def split_blocks(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) ->
         import pyarrow as pa
         from pyspark import TaskContext
 
-        splitter = Splitter(load(path))
+        splitter = Splitter(load_once(path))
         number = TaskContext.get().partitionId() << 32
         ids: list = []
         sizes: list[int] = []
@@ -70,6 +71,8 @@ def split_blocks(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) ->
                 names=["block", "doc_ids", "sizes", "n_words", "positions", "words"],
             )
             ids, sizes, parts, known, chars = [], [], [], Numbering(), 0
+            del met, words, order, place
+            trim()
             return row
 
         for batch in batches:
@@ -117,7 +120,10 @@ def _by_block(blocks: DataFrame) -> DataFrame:
     """``blocks`` written to the shared folder in buckets by block, so that the ids come to them and they stay in place."""
     spark, name = blocks.sparkSession, f"bpe_blocks_{uuid.uuid4().hex}"
     n = max(8, blocks.rdd.getNumPartitions())
-    blocks.write.bucketBy(n, "block").option("compression", "zstd").option("path", fresh_path(spark, "bpe-blocks")).saveAsTable(name)
+    path = fresh_path(spark, "bpe-blocks")
+    with small_batches(spark):
+        blocks.write.bucketBy(n, "block").option("compression", "zstd").option("path", path).saveAsTable(name)
+    delete_at_end(spark, path)
     table = spark.table(name)
     spark.sql(f"drop table {name}")  # its files stay
     return table
@@ -155,7 +161,15 @@ def encode(docs: DataFrame, path: str | None = None, block_chars: int = BLOCK_CH
         import numpy as np
         import pyarrow as pa
 
-        out_ids, out = [], []
+        out_ids, out, done = [], [], []
+
+        def flush():
+            """Documents leave in small batches, so that no more is held twice."""
+            ends = np.cumsum([0, *map(len, out)])
+            flat = np.concatenate(out) if out else np.zeros(0, np.int32)
+            done.append(pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], names=["doc_id", "ids"]))
+            out_ids.clear(), out.clear()
+
         for row in left.select(["doc_ids", "sizes", "n_words", "positions"]).to_pylist():
             start_of, width_of, ids, end = np.empty(row["n_words"], np.int64), np.empty(row["n_words"], np.int64), [], 0
             for part in right.select(["at", "sizes", "ids"]).to_pylist():
@@ -172,8 +186,11 @@ def encode(docs: DataFrame, path: str | None = None, block_chars: int = BLOCK_CH
                 to = np.cumsum(w)
                 out_ids.append(doc_id)
                 out.append(ids[np.repeat(start_of[words] - (to - w), w) + np.arange(to[-1])] if size else np.zeros(0, np.int32))
-        ends = np.cumsum([0, *map(len, out)])
-        return pa.table([pa.array(out_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32()))], names=["doc_id", "ids"])
+                if len(out) == AT_ONCE:
+                    flush()
+        flush()
+        trim()
+        return pa.Table.from_batches(done)
 
     left = blocks.select("block", "doc_ids", "sizes", "n_words", "positions")
     return left.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join, "doc_id long, ids array<int>")
@@ -191,7 +208,7 @@ def load_once(path: str):
 
 def piece_table(path: str) -> list[bytes]:
     """The bytes that each id stands for, in a byte-level vocabulary; as long as the vocabulary."""
-    tokenizer = load(path)
+    tokenizer = load_once(path)
     byte_of = {c: b for b, c in BYTE_CHARS.items()}
     special = {i: a.content for i, a in tokenizer.get_added_tokens_decoder().items()}
     pieces = [b""] * tokenizer.get_vocab_size()
@@ -212,8 +229,10 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             _PIECES[path] = piece_table(path)
         piece = _PIECES[path].__getitem__
         for batch in batches:
-            done = [b"".join(map(piece, x.values.to_numpy(zero_copy_only=False).tolist())).decode("utf-8", "replace") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(done, pa.string())], names=["doc_id", "ids", "text"])
+            for lo in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(lo, AT_ONCE)
+                done = [b"".join(map(piece, x.values.to_numpy(zero_copy_only=False).tolist())).decode("utf-8", "replace") for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(done, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(texts, "doc_id long, ids array<int>, text string")
 

@@ -63,6 +63,18 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
         spark.conf.set(name, before)
 
 
+def trim() -> None:
+    """Give a Python worker's free memory back to the system, where the C library can: workers live on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 def delete_at_end(spark: SparkSession, path: str) -> None:
     """Have a folder deleted when the driver ends."""
     _files(spark, path, "deleteOnExit")
