@@ -31,7 +31,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, release, written
+from .common import drop_written, release, trim, written
 from .components import connected_components
 
 CUTS = 4  # times a set may be cut into parts before its empty parts count too
@@ -172,6 +172,7 @@ def sets_of(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, keys)])
                 flat = pa.array(np.concatenate(keys).view(np.int64))
                 yield pa.RecordBatch.from_arrays([ids[lo : lo + 512], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["id", "size", "h", "bits", "keys"])
+            trim()
 
     return docs.mapInArrow(rows, "id long, size long, h binary, bits binary, keys array<long>")
 

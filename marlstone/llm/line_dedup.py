@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, quoted, release, written
+from .common import drop_written, quoted, release, trim, written
 from .jaccard_join import mix
 
 MIN_WORDS = 20
@@ -133,6 +133,7 @@ def units_of(docs: DataFrame, line_words: int | None = None) -> DataFrame:
                 made = [of(text.as_py() or "") for text in batch.column(1)[lo : lo + 128]]
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c), kind)) for c, kind in zip(zip(*made), kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + 128], batch.column(2)[lo : lo + 128], *lists], names=["id", "hash", "steps", "spans", "lines", "back", "d1", "d2"])
+            trim()
 
     return docs.mapInArrow(rows, "id long, hash long, steps array<int>, spans array<int>, lines array<int>, back array<int>, d1 array<long>, d2 array<long>")
 
