@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..functions.text import SENSITIVE_TOKENS
 from ..operators import grounding, keys, profile, values
 from ..session import TABLES, read
 from ..sources import catalog
@@ -76,15 +77,18 @@ def top_values_priority(spark, sf_dir):
     return profile.top_values(read(spark, sf_dir, "orders"), "o_orderpriority", 3)
 
 
-VOCABULARY = [("customer", "c_mktsegment"), ("events", "event_type"), ("lineitem", "l_linenumber"), ("lineitem", "l_linestatus"), ("lineitem", "l_returnflag"), ("orders", "o_orderpriority"), ("orders", "o_orderstatus")]
+CODED = {
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "events": "event_id ts user_id event_type value props", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+}
 
 
-@R.df(" union all ".join(f"select '{t}' as \"table\", '{c}' as \"column\", cast({c} as varchar) as code, count(*) as n from {t} group by 3" for t, c in VOCABULARY))
+@R.df(" union all ".join(f"""select '{t}' as "table", '{c}' as "column", cast({c} as varchar) as code, count(*) as n from {t} where {c} is not null and (select count(distinct {c}) between 1 and 25 and count(distinct {c}) < count(*) from {t})
+and not regexp_matches('{c}', '_(id|identifier|name)$') and not regexp_matches('{c}', '{'|'.join(SENSITIVE_TOKENS)}') group by 3""" for t, columns in CODED.items() for c in columns.split()))
 def code_vocabulary(spark, sf_dir):
-    tables = _tables(spark, sf_dir, ("customer", "events", "lineitem", "orders"))
-    found = profile.code_vocabulary(tables, profile.profile_all(tables))
-    chosen = F.concat_ws(".", "table", "column").isin(*(f"{t}.{c}" for t, c in VOCABULARY))
-    return found.where(chosen)
+    """Every column of four tables that looks coded, with its whole vocabulary."""
+    tables = _tables(spark, sf_dir, tuple(CODED))
+    return profile.code_vocabulary(tables, profile.profile_all(tables))
 
 
 LABELS = """with t as (select 'labels' as "table", {c} as v, count(*) as n, count(distinct doc_id) = count(doc_id) as u from labels group by v) select "table", '{c}' as "column", '=' || v as label, n as n_rows, {u} as unique_columns from t"""
