@@ -15,8 +15,15 @@ from .tree import Node, analyzed, casts_as_written
 
 RAW, MASKED, DENIED = "raw", "masked", "denied"
 LEVELS = ("pii", "phi")
-#: Expressions of a row filter that may raise on a row it hides, by their class (fixed values).
-RAISING = ("Divide", "Remainder", "IntegralDivide", "Pmod", "ElementAt", "GetArrayItem", "AssertTrue", "RaiseError", "ScalaUDF", "PythonUDF", "ToNumber", "ParseJson", "CheckOverflow")
+#: Expressions of a row filter that never raise on a row, by their class (fixed values); casts and sums are looked at further.
+SAFE = frozenset("""
+AttributeReference OuterReference Literal Alias And Or Not EqualTo EqualNullSafe LessThan LessThanOrEqual GreaterThan GreaterThanOrEqual In InSet InSubquery ListQuery Exists
+ScalarSubquery IsNull IsNotNull IsNaN Coalesce NullIf CaseWhen If Like LikeAll LikeAny ILike RLike StartsWith EndsWith Contains Lower Upper StringTrim StringTrimLeft StringTrimRight Length
+Substring Concat Year Month DayOfMonth DayOfWeek Quarter Hour Minute Second TruncDate TruncTimestamp DateAdd DateSub DateDiff CurrentDate CurrentTimestamp Now LocalTimestamp CurrentUser
+ArrayContains Size GetStructField KnownNotNull AggregateExpression Min Max Count SortOrder
+""".split())
+TRIES = ("TryEval", "TryAdd", "TrySubtract", "TryMultiply", "TryDivide", "TryMod", "TryElementAt", "TryToNumber", "TryToTimestampExpressionBuilder")
+SUMS = ("Add", "Subtract", "Multiply", "UnaryMinus", "Abs")
 
 
 class InvalidFilter(ValueError):
@@ -72,12 +79,26 @@ def validate_filter(df: DataFrame, predicate: str) -> None:
         raise InvalidFilter(f"{predicate}: {str(e).splitlines()[0]}") from None
     top = next(n for n in plan.walk() if n.kind == "Filter")
     for e in top.named.get("condition", []):
+        below = {id(n) for x in e.walk() for p in x.plans for n in p.plan_nodes()}  # plans of subqueries
+        tries = {id(c) for x in e.walk() if x.kind in TRIES for c in x.children}  # what a try_ function runs in that mode
         for x in e.walk():
-            may = x.kind == "Cast" and not next(tried, False) and _may_fail(x)
-            if x.kind in RAISING or may:
+            if id(x) in below:
+                continue
+            if x.kind == "Cast":
+                fine = next(tried, False) or not _may_fail(x)
+            else:
+                fine = x.kind in SAFE or x.kind in TRIES or id(x) in tries or x.kind in SUMS and _floating(x)
+            if not fine:
                 raise InvalidFilter(f"{predicate}: {x.kind.lower()} may raise on a hidden row; use the try_ form")
 
 
+def _floating(e: Node) -> bool:
+    """Whether all that an expression computes with is floating, which never overflows."""
+    if e.kind in ("AttributeReference", "Literal", "Cast"):
+        return str(e.fields.get("dataType")) in ("double", "float")
+    return e.kind in SUMS and all(map(_floating, e.children))
+
+
 def _may_fail(cast: Node) -> bool:
     """Whether an ANSI cast can raise: from text to anything but text, or from a wider number to a narrower one."""
     if not cast.children:
