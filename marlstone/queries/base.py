@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.rewrite import rewritten
 from ..session import read
 
 
@@ -23,7 +24,7 @@ class Registry:
         tables = sorted(set(re.findall(r"\{(\w+)\}", text)))
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return spark.sql(text, **{t: read(spark, sf_dir, t) for t in tables})
+            return rewritten(spark.sql(text, **{t: read(spark, sf_dir, t) for t in tables}))
 
         self.queries[name] = run
         self.text[name] = re.sub(r"\{(\w+)\}", r"\1", text)
