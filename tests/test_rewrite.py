@@ -34,7 +34,7 @@ def own(spark, sf_dir):
     return s, con
 
 
-@pytest.mark.parametrize("name", ["lateral_top_order_per_customer"])
+@pytest.mark.parametrize("name", ["lateral_top_order_per_customer", "approved_lateral_top_order_per_customer"])
 def test_lateral_queries_number_rows_in_their_order(spark, sf_dir, name):
     assert not unordered(catalogue()[0][name](spark, sf_dir))
 
