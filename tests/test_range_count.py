@@ -51,7 +51,7 @@ def own(spark, tmp_path_factory):
     return s, con, path
 
 
-@pytest.mark.parametrize("name", ["window_range_7d"])
+@pytest.mark.parametrize("name", ["window_range_7d", "approved_window_range_7d"])
 def test_range_queries_have_no_range_window(spark, sf_dir, name):
     assert not ranged(catalogue()[0][name](spark, sf_dir))
 
