@@ -81,7 +81,7 @@ def federated_join(spark, sf_dir):
 
 @R.df("select table_name as \"table\" from information_schema.tables where table_name like '%s' or table_name = 'part'")
 def scoped_tables(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in catalog.scoped(list(TABLES), ["*S", "Part"])], "table string")
+    return spark.createDataFrame([(t,) for t in catalog.scoped(catalog.tables_at(spark, sf_dir), ["*S", "Part"])], "table string")
 
 
 @R.df(" union all ".join(f"select '{t}' as \"table\", count(*) as n from {t}" for t in TABLES))

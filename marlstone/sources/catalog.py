@@ -32,6 +32,14 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("table", change.alias("change"))
 
 
+def tables_at(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the Parquet tables in a folder of any file system: files or folders called <name>.parquet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [s.getPath().getName() for s in found]
+    return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet") and not n.startswith(("_", ".")))
+
+
 def scoped(names: list[str], patterns: list[str]) -> list[str]:
     """The tables that the patterns (names or globs, whatever their case) select; each pattern must select one."""
     out: set[str] = set()
