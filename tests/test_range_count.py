@@ -4,8 +4,10 @@ import datetime as dt
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from compare_oracle import rows
+from marlstone.operators.windows import range_count
 from marlstone.plans.decide import decide
 from marlstone.plans.policy import Grants, secured_session
 from marlstone.plans.rewrite import rewritten
@@ -80,3 +82,31 @@ def test_counts_stay_behind_row_filters(spark, own, filters):
     got = sorted(tuple(r) for r in decide(secured, COUNTED["one key"]).df.collect())
     where = "where part > 0" if filters else ""
     assert got == sorted(own[1].execute(COUNTED["one key"].replace("from marks", f"from marks {where}")).fetchall())
+
+
+def test_counts_meet_their_rows_by_time_first(own):
+    """A struct alone as the join's key makes Spark's sort compare it field by field."""
+    s, con, _ = own
+    s.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = rewritten(s.sql(COUNTED["one key"]))
+        assert "SortMergeJoin [coalesce(" in out._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(tuple(r) for r in out.collect()) == sorted(con.execute(COUNTED["one key"]).fetchall())
+    finally:
+        s.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_no_time_is_not_the_epoch(spark, kind):
+    data = [(1, None), (2, dt.datetime(1970, 1, 1)), (3, None), (4, dt.datetime(1970, 1, 1)), (5, dt.datetime(1970, 1, 3)), (6, None)]
+    df = spark.createDataFrame(data, f"id long, ts {kind}")
+    out = range_count(df, [], "ts", F.expr("ts - interval '7' day"), "n")
+    assert sorted(tuple(r) for r in out.select("id", "n").collect()) == [(1, 3), (2, 2), (3, 3), (4, 2), (5, 3), (6, 3)]
+
+
+def test_approved_query_opens_only_tables_that_it_names(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
+    out = catalogue()[0]["approved_window_range_7d"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{sf_dir}/events.parquet'")
+    assert sorted(tuple(r) for r in out.collect()) == sorted(con.execute(catalogue()[1]["approved_window_range_7d"]).fetchall())
