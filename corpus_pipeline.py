@@ -12,11 +12,13 @@ packing, which takes it as empty.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import jaccard_join, line_dedup, ordinal, packing, secret_scan
-from marlstone.llm.common import table, written
+from marlstone.llm.common import release_executors, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +52,23 @@ def _sized(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+def _fresh(stage):
+    """The stage, begun with what the one before it left in the executors' heaps given back."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality classifier", quality),
-    ("n-gram Jaccard join", near_copies),
-    ("substring dedup", shared_passages),
-    ("secret scans", secrets),
-    ("packing", packed),
+    ("quality classifier", _fresh(quality)),
+    ("n-gram Jaccard join", _fresh(near_copies)),
+    ("substring dedup", _fresh(shared_passages)),
+    ("secret scans", _fresh(secrets)),
+    ("packing", _fresh(packed)),
 ]
 
 #: SQL can't express the classifier; the pipeline is tested stage by stage against brute force.

@@ -102,3 +102,16 @@ def release(spark: SparkSession) -> None:
     for _ in range(2):
         gc.collect()
         spark._jvm.System.gc()
+
+
+def release_executors(spark: SparkSession) -> None:
+    """Have the executors' collectors run, in a session that has executors of its own. A heap that an earlier step has filled
+    stays as large as it was for hours, and what Python workers need comes on top of it; a full collection gives back what is free."""
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        collect_in_tasks(spark)
+
+
+def collect_in_tasks(spark: SparkSession) -> int:
+    """A full collection in each of as many tasks as there are cores; returns their number."""
+    n = spark.sparkContext.defaultParallelism
+    return len(spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc') as done").collect())

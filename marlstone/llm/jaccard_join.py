@@ -31,7 +31,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, release, trim, written
+from .common import drop_written, release, release_executors, trim, written
 from .components import connected_components
 
 CUTS = 4  # times a set may be cut into parts before its empty parts count too
@@ -316,6 +316,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str =
     sets = written(keyed.select("id", "size", "h", "bits"), "jaccard-sets")
     drop_written(keyed)
     release(spark)
+    release_executors(spark)
 
     # documents that share a part, for one part of those that the same documents share
     by_key = Window.partitionBy("key")
@@ -327,6 +328,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str =
     parts = written(shared.join(one, "key", "left_semi").select("key", "id").distinct(), "jaccard-parts")
     drop_written(shared)
     release(spark)
+    release_executors(spark)
     bits = sets.where("size > 0").select("id", "size", "bits")
 
     found = tried = None
